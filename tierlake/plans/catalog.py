@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierlake.operators import quality
+from tierlake.operators.quality import Checks, findings
 from tierlake.plans import marts
 
 
@@ -100,7 +102,96 @@ def fact_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.gold_order_items(fact_clean(spark, sf_dir), audit=False)
 
 
+# --------------------------------------------------------------------------
+# Quality checks (Q2-Q9) and bad rows (Q3)
+# --------------------------------------------------------------------------
+
+ITEM_KEYS = ("order_id", "item_seq")
+SILVER_ITEM_CHECKS = Checks(keys=ITEM_KEYS, critical=("order_id", "product_id", "quantity",
+                                                      "unit_price"), stage="silver")
+GOLD_ITEM_CHECKS = Checks(metrics=("quantity", "net_amount", "net_amount_inr"), min_rows=10,
+                          stage="gold")
+
+
+def dq_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 + Q9 on a table that filters to nothing (shipments after 2100)."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2100-01-01").cast("timestamp"))
+    return findings(li, Checks(metrics=("l_quantity",), min_rows=10, stage="gold"),
+                    "lineitem_future")
+
+
+def dq_min_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: orders expected to hold at least a billion rows."""
+    return findings(table(spark, sf_dir, "orders"),
+                    Checks(metrics=("o_totalprice",), min_rows=1_000_000_000, stage="gold"),
+                    "orders")
+
+
+def dq_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 (and Q3's count): rows of silver order items with a NULL key part."""
+    return findings(fact_clean(spark, sf_dir), Checks(keys=ITEM_KEYS, duplicate_check=False),
+                    "slv_order_items")
+
+
+def dq_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: duplicate (l_orderkey, l_linenumber) groups of lineitem."""
+    return findings(table(spark, sf_dir, "lineitem"),
+                    Checks(keys=("l_orderkey", "l_linenumber")), "lineitem")
+
+
+def dq_critical_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: NULLs in critical columns of silver order items."""
+    return findings(fact_clean(spark, sf_dir),
+                    Checks(critical=("order_id", "product_id", "quantity", "unit_price", "dt",
+                                     "order_ts", "tax_amount", "discount_pct")),
+                    "slv_order_items")
+
+
+def dq_metric_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7 (+Q8): NULL and negative business metrics of the gold fact."""
+    return findings(fact_mart(spark, sf_dir), GOLD_ITEM_CHECKS, "gld_fact_order_items")
+
+
+def dq_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: negative account balances; the string metric is skipped."""
+    return findings(table(spark, sf_dir, "customer"),
+                    Checks(metrics=("c_acctbal", "c_name"), min_rows=5, stage="gold"),
+                    "customer")
+
+
+def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of the fact pipeline's stored tables in one findings frame."""
+    silver = fact_clean(spark, sf_dir)
+    gold = marts.gold_order_items(silver, audit=False)
+    return (findings(silver, SILVER_ITEM_CHECKS, "slv_order_items")
+            .unionByName(findings(gold, GOLD_ITEM_CHECKS, "gld_fact_order_items"))
+            .unionByName(findings(table(spark, sf_dir, "orders"),
+                                  Checks(keys=("o_orderkey",), critical=("o_custkey", "o_orderdate"),
+                                         stage="silver"), "orders")))
+
+
+def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: every silver order item with a NULL key part (not capped)."""
+    return quality.bad_rows(fact_clean(spark, sf_dir), ITEM_KEYS)
+
+
+def split_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid side of the split: items with a complete key."""
+    valid, _ = quality.split_valid(fact_clean(spark, sf_dir), ITEM_KEYS)
+    return valid
+
+
 QUERIES = {
     "fact_clean": fact_clean,
     "fact_mart": fact_mart,
+    "dq_empty": dq_empty,
+    "dq_min_rows": dq_min_rows,
+    "dq_null_key": dq_null_key,
+    "dq_duplicate_keys": dq_duplicate_keys,
+    "dq_critical_nulls": dq_critical_nulls,
+    "dq_metric_nulls": dq_metric_nulls,
+    "dq_negative": dq_negative,
+    "dq_report": dq_report,
+    "bad_rows": bad_rows,
+    "split_valid": split_valid,
 }

@@ -168,3 +168,103 @@ ORACLE: dict[str, str] = {
     "fact_clean": f"WITH {SILVER_ORDER_ITEMS} SELECT * FROM silver_items",
     "fact_mart": f"WITH {GOLD_ORDER_ITEMS} SELECT * FROM gold_items",
 }
+
+
+# --------------------------------------------------------------------------
+# Quality findings
+# --------------------------------------------------------------------------
+
+def findings_sql(src: str, table_name: str, stage: str = "silver", keys=(), critical=(),
+                 metrics=(), numeric=(), min_rows=None, duplicate_check=True) -> str:
+    """SELECT producing the findings of one table ``src`` (a view or CTE)."""
+    null_cols = list(dict.fromkeys([*critical, *metrics]))
+    any_key_null = " OR ".join(f"{k} IS NULL" for k in keys) or "FALSE"
+    if keys and duplicate_check:
+        inner = ", ".join(
+            [*keys, "count(*) AS _n"]
+            + [f"count_if({c} IS NULL) AS \"null__{c}\"" for c in null_cols]
+            + [f"count_if({c} < 0) AS \"neg__{c}\"" for c in numeric])
+        cols = ["CAST(coalesce(sum(_n), 0) AS BIGINT) AS row_count",
+                f"CAST(coalesce(sum(CASE WHEN {any_key_null} THEN _n END), 0) AS BIGINT) AS null_key_rows",
+                "CAST(count_if(_n > 1) AS BIGINT) AS duplicate_key_groups"]
+        cols += [f"CAST(coalesce(sum(\"null__{c}\"), 0) AS BIGINT) AS \"null__{c}\"" for c in null_cols]
+        cols += [f"CAST(coalesce(sum(\"neg__{c}\"), 0) AS BIGINT) AS \"neg__{c}\"" for c in numeric]
+        prof = (f"SELECT {', '.join(cols)} FROM (SELECT {inner} FROM {src} "
+                f"GROUP BY {', '.join(keys)})")
+    else:
+        cols = ["CAST(count(*) AS BIGINT) AS row_count"]
+        if keys:
+            cols.append(f"CAST(count_if({any_key_null}) AS BIGINT) AS null_key_rows")
+        cols += [f"CAST(count_if({c} IS NULL) AS BIGINT) AS \"null__{c}\"" for c in null_cols]
+        cols += [f"CAST(count_if({c} < 0) AS BIGINT) AS \"neg__{c}\"" for c in numeric]
+        prof = f"SELECT {', '.join(cols)} FROM {src}"
+
+    def row(check, col, failed, expected, actual, violated):
+        col_sql = "CAST(NULL AS VARCHAR)" if col is None else f"'{col}'"
+        failed_sql = "CAST(NULL AS BIGINT)" if failed is None else f"CAST({failed} AS BIGINT)"
+        return (f"SELECT '{stage}' AS stage, '{table_name}' AS table_name, '{check}' AS \"check\", "
+                f"{col_sql} AS column_name, {failed_sql} AS failed_rows, "
+                f"CAST({expected} AS BIGINT) AS expected, CAST({actual} AS BIGINT) AS actual, "
+                f"({violated}) AS violated FROM prof_{table_name}")
+
+    empty = "EMPTY_GOLD_DATASET" if stage == "gold" else "EMPTY_DATASET"
+    rows = [row(empty, None, None, 1, "row_count", "row_count = 0")]
+    if keys:
+        kn = ",".join(keys)
+        rows.append(row("NULL_PRIMARY_KEY", kn, "null_key_rows", 0, "null_key_rows", "null_key_rows > 0"))
+        if duplicate_check:
+            rows.append(row("DUPLICATE_PRIMARY_KEYS", kn, "duplicate_key_groups", 0,
+                            "duplicate_key_groups", "duplicate_key_groups > 0"))
+    for c in critical:
+        n = f'"null__{c}"'
+        rows.append(row("BUSINESS_RULE_VIOLATION", c, n, 0, n, f"{n} > 0"))
+    if min_rows is not None:
+        rows.append(row("LOW_ROW_COUNT", None, None, min_rows, "row_count", f"row_count < {min_rows}"))
+    for c in metrics:
+        n = f'"null__{c}"'
+        rows.append(row("MISSING_BUSINESS_METRIC", c, n, 0, n, f"{n} > 0"))
+    for c in numeric:
+        n = f'"neg__{c}"'
+        rows.append(row("NEGATIVE_BUSINESS_METRIC", c, n, 0, n, f"{n} > 0"))
+    body = " UNION ALL ".join(rows)
+    return (f"(SELECT stage, table_name, \"check\", column_name, failed_rows, expected, actual "
+            f"FROM (WITH prof_{table_name} AS ({prof}) {body}) WHERE violated)")
+
+
+_ITEM_KEYS = ("order_id", "item_seq")
+_SILVER_ITEM_CHECKS = dict(keys=_ITEM_KEYS, critical=("order_id", "product_id", "quantity",
+                                                       "unit_price"), stage="silver")
+_GOLD_ITEM_CHECKS = dict(metrics=("quantity", "net_amount", "net_amount_inr"),
+                         numeric=("quantity", "net_amount", "net_amount_inr"),
+                         min_rows=10, stage="gold")
+
+ORACLE.update({
+    "dq_empty": "WITH li_future AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '2100-01-01') "
+                + findings_sql("li_future", "lineitem_future", stage="gold", metrics=("l_quantity",),
+                               numeric=("l_quantity",), min_rows=10),
+    "dq_min_rows": findings_sql("orders", "orders", stage="gold", metrics=("o_totalprice",),
+                                numeric=("o_totalprice",), min_rows=1_000_000_000),
+    "dq_null_key": f"WITH {SILVER_ORDER_ITEMS} "
+                   + findings_sql("silver_items", "slv_order_items", keys=_ITEM_KEYS,
+                                  duplicate_check=False),
+    "dq_duplicate_keys": findings_sql("lineitem", "lineitem", keys=("l_orderkey", "l_linenumber")),
+    "dq_critical_nulls": f"WITH {SILVER_ORDER_ITEMS} "
+                         + findings_sql("silver_items", "slv_order_items",
+                                        critical=("order_id", "product_id", "quantity", "unit_price",
+                                                  "dt", "order_ts", "tax_amount", "discount_pct")),
+    "dq_metric_nulls": f"WITH {GOLD_ORDER_ITEMS} "
+                       + findings_sql("gold_items", "gld_fact_order_items", **_GOLD_ITEM_CHECKS),
+    "dq_negative": findings_sql("customer", "customer", stage="gold", metrics=("c_acctbal", "c_name"),
+                                numeric=("c_acctbal",), min_rows=5),
+    "dq_report": f"WITH {GOLD_ORDER_ITEMS} "
+                 + findings_sql("silver_items", "slv_order_items", **_SILVER_ITEM_CHECKS)
+                 + " UNION ALL "
+                 + findings_sql("gold_items", "gld_fact_order_items", **_GOLD_ITEM_CHECKS)
+                 + " UNION ALL "
+                 + findings_sql("orders", "orders", keys=("o_orderkey",),
+                                critical=("o_custkey", "o_orderdate")),
+    "bad_rows": f"WITH {SILVER_ORDER_ITEMS} SELECT * FROM silver_items "
+                "WHERE order_id IS NULL OR item_seq IS NULL",
+    "split_valid": f"WITH {SILVER_ORDER_ITEMS} SELECT * FROM silver_items "
+                   "WHERE NOT (order_id IS NULL OR item_seq IS NULL)",
+})
