@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tierlake.plans import catalog, catalog_dims
+from tierlake.plans import catalog, catalog_dims, catalog_ops
 from tierlake.plans.oracle import ORACLE
 from tierlake.plans.oracle_dims import ORACLE_DIMS
+from tierlake.plans.oracle_ops import ORACLE_OPS
 
-QUERIES = {**catalog.QUERIES, **catalog_dims.QUERIES}
-ORACLE_SQL = {**ORACLE, **ORACLE_DIMS}
+QUERIES = {**catalog.QUERIES, **catalog_dims.QUERIES, **catalog_ops.QUERIES}
+ORACLE_SQL = {**ORACLE, **ORACLE_DIMS, **ORACLE_OPS}
