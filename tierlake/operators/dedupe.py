@@ -4,18 +4,28 @@
 row is the first in a total order: the order columns, then every other
 column, so ties can only be between identical rows.
 
-Both forms are plain aggregations (``first`` / ``min`` of a struct), so Spark
-combines rows map-side before the shuffle: a key that holds a third of all
-rows still sends one row per map task, not a third of the data to one task
-as a ``row_number()`` window would.
+The ordered form is ``row_number() OVER (PARTITION BY keys ORDER BY ...) =
+1``. Spark plans it with a map-side ``WindowGroupLimit`` before the shuffle:
+each map task keeps only its first row per key, so a key that holds a third
+of all rows still sends one row per map task (like a partial aggregate),
+and after the shuffle one sort per partition finishes the pick.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _order_cols(df: DataFrame, keys: list[str], order_by: Sequence[str],
+                descending: bool) -> list[Column]:
+    order = [c for c in order_by if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    cols = [F.col(c) for c in order + rest]
+    return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in cols]
 
 
 def dedupe(
@@ -24,17 +34,18 @@ def dedupe(
     order_by: Sequence[str] | None = None,
     descending: bool = False,
 ) -> DataFrame:
-    """One row per key; NULL key parts compare equal (they form one group)."""
+    """One row per key; NULL key parts compare equal (they form one group).
+
+    ``order_by=None``: any row (``dropDuplicates``). ``order_by=[...]``: the
+    first row by those columns then all others (ascending, NULLs first; or
+    descending, NULLs last). ``order_by=[]`` orders by all non-key columns.
+    """
     keys = list(keys)
     if order_by is None:
         return df.dropDuplicates(keys)
-    order = [c for c in order_by if c not in keys]
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    if not order and not rest:
+    order = _order_cols(df, keys, order_by, descending)
+    if not order:
         return df.select(*keys).distinct()
-    pick = F.struct(*[F.col(c) for c in order + rest])
-    agg = F.max(pick) if descending else F.min(pick)
-    picked = df.groupBy(*keys).agg(agg.alias("_pick"))
-    return picked.select(*[
-        F.col(c) if c in keys else F.col(f"_pick.{c}").alias(c) for c in df.columns
-    ])
+    w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
+    return (df.withColumn("_dedupe_rn", F.row_number().over(w))
+              .where(F.col("_dedupe_rn") == 1).drop("_dedupe_rn"))

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierlake.session import scratch_root
+from tierlake.operators.dedupe import dedupe
+from tierlake.session import cut_lineage
 
 FAILURE, ANOMALY = "failure", "anomaly"
 # Evidence severity for ranking: a failure outranks an anomaly outranks drift.
@@ -36,11 +37,13 @@ def latest(df: DataFrame, ts: str = "timestamp", by: Sequence[str] = (),
     An empty input gives no row."""
     by = list(by)
     order = [ts, *[c for c in tie if c not in by and c != ts]]
-    rest = [c for c in df.columns if c not in by and c not in order]
-    pick = F.max(F.struct(*[F.col(c) for c in order + rest])).alias("_p")
-    agg = df.groupBy(*by).agg(pick) if by else df.agg(pick)
-    return agg.where(F.col("_p").isNotNull()).select(
-        *by, *[F.col(f"_p.{c}").alias(c) for c in df.columns if c not in by])
+    if not by:
+        # Distributed top-1: each task keeps its best row, then one merge.
+        rest = [c for c in df.columns if c not in order]
+        return df.orderBy(*[F.col(c).desc_nulls_last() for c in order + rest]).limit(1)
+    # row_number() = 1 per group: planned with a map-side WindowGroupLimit,
+    # so a hot group sends one row per map task through the shuffle.
+    return dedupe(df, by, order_by=order, descending=True)
 
 
 def latest_failure(executions: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
@@ -99,8 +102,7 @@ def lineage_record(incidents: DataFrame, lineage: DataFrame,
 
 def _first_per_key(lineage: DataFrame, keys: list[str]) -> DataFrame:
     cols = [c for c in ("downstream_table", "upstream_tables", "operation") if c in lineage.columns]
-    picked = lineage.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("_l"))
-    return picked.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in cols])
+    return dedupe(lineage.select(*keys, *cols), keys, order_by=cols)
 
 
 def lineage_edges(lineage: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -140,17 +142,21 @@ def lineage_closure(edges: DataFrame, starts: DataFrame, max_depth: int = 100,
     """
     group = list(group)
     keys = [*group, node]
-    if checkpoint:
-        scratch_root(edges.sparkSession)
     e = edges.select(*[F.col(g) for g in group if g in edges.columns],
                      F.col(child).alias("_child"), F.col(parent).alias("_parent")).distinct()
     edge_groups = [g for g in group if g in edges.columns]
+    # Shuffle the edges once, by the join key; checkpointing keeps that
+    # partitioning, so each level only shuffles its (small) frontier.
+    e = e.repartition(*edge_groups, "_child")
     frontier = starts.select(*keys).distinct().withColumn("depth", F.lit(0))
     if checkpoint:
-        frontier = frontier.checkpoint(eager=True)
+        e = cut_lineage(e)
+        frontier = cut_lineage(frontier)
     levels = [frontier]
-    visited = frontier.select(*keys)
     for d in range(1, max_depth + 1):
+        visited = levels[0].select(*keys)
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv.select(*keys))
         cond = frontier[node] == e["_child"]
         for g in edge_groups:
             cond = cond & (frontier[g] == e[g])
@@ -160,13 +166,10 @@ def lineage_closure(edges: DataFrame, starts: DataFrame, max_depth: int = 100,
                 .join(visited, keys, "left_anti")
                 .withColumn("depth", F.lit(d)))
         if checkpoint:
-            step = step.checkpoint(eager=True)
+            step = cut_lineage(step)
         if step.isEmpty():
             break
         levels.append(step)
-        visited = visited.unionByName(step.select(*keys))
-        if checkpoint:
-            visited = visited.checkpoint(eager=True)
         frontier = step
     out = levels[0]
     for lv in levels[1:]:

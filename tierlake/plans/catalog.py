@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from tierlake.operators import quality
 from tierlake.operators.quality import Checks, findings
 from tierlake.plans import marts
+from tierlake.sources.scan import read_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,6 +32,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tierlake/{name}-{uuid.uuid4().hex}"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint to the shared checkpoint dir: one job that
+    computes and writes the frame; the result reads the written files, so
+    it survives executor loss and the plan restarts from there (never a
+    local checkpoint). Output partitioning is kept."""
+    scratch_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the local bench: AQE on, UTC, no UI."""
     return (

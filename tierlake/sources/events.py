@@ -110,7 +110,11 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None,
     if kind is not None:
         out = out.where(F.col("event_type") == kind)
     if not with_corrupt:
-        out = out.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        # A valid event always has a timestamp; naming a data column here also
+        # keeps the scan from reading the corrupt-record column alone (Spark
+        # rejects that).
+        out = (out.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
+               .drop("_corrupt_record"))
     return out
 
 
