@@ -111,6 +111,28 @@ def schema_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(sup, contract, EvolutionRules(allow_new_columns=False))
 
 
+RAW_ITEM_SCHEMA = StructType([StructField(c, StringType()) for c in (
+    "dt", "order_ts", "customer_id", "order_id", "item_seq", "product_id", "quantity",
+    "unit_price_currency", "unit_price", "discount_pct", "tax_amount", "channel", "coupon_code")])
+
+
+def landing_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 incremental: raw order items land as CSV files (two drops); an
+    availableNow file stream loads each drop into bronze exactly once."""
+    from tierlake.plans.catalog import raw_order_items
+    from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
+    root = scratch_path(spark, "landing")
+    raw = raw_order_items(table(spark, sf_dir, "lineitem"))
+    first = F.col("order_id").cast("long") % 2 == 0
+    args = (spark, f"{root}/landing", RAW_ITEM_SCHEMA, f"{root}/bronze", f"{root}/ckpt")
+    for part in (raw.where(first), raw.where(~first)):  # two drops, together the whole table
+        (part.write.mode("append").option("header", True).options(**CSV_TEXT_OPTIONS)
+         .option("nullValue", "\\N").csv(f"{root}/landing"))
+        ingest_landing(*args, max_files_per_trigger=4, null_value="\\N")  # only the new drop
+    ingest_landing(*args, null_value="\\N")  # nothing new: no batch, no duplicate rows
+    return spark.read.parquet(f"{root}/bronze").select(*RAW_ITEM_SCHEMA.fieldNames())
+
+
 # --------------------------------------------------------------------------
 # Observed staged run
 # --------------------------------------------------------------------------
@@ -322,6 +344,7 @@ QUERIES = {
     "quarantine_round_trip": quarantine_round_trip,
     "schema_drift": schema_drift,
     "schema_conform": schema_conform,
+    "landing_ingest": landing_ingest,
     "run_status": run_status,
     "lineage_capture": lineage_capture,
     "latest_failure": latest_failure,

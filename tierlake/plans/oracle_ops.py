@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierlake.plans.oracle import SILVER_ORDER_ITEMS
+from tierlake.plans.oracle import RAW_ORDER_ITEMS, SILVER_ORDER_ITEMS
 from tierlake.plans.oracle_dims import RAW_CUSTOMERS
 
 
@@ -67,6 +67,7 @@ ORACLE_OPS: dict[str, str] = {
         ) t(column_name, change, expected_type, actual_type, compatible)""",
     "schema_conform": "SELECT s_suppkey, s_name, CAST(NULL AS INTEGER) AS s_nationkey, s_acctbal "
                       "FROM supplier",
+    "landing_ingest": f"WITH {RAW_ORDER_ITEMS} SELECT * FROM raw_order_items",
     "run_status": """
         SELECT 'bronze' AS stage_name, 'bronze_orders' AS pipeline_name, 'SUCCESS' AS status,
                CAST(count(*) AS BIGINT) AS row_count FROM orders
