@@ -15,14 +15,14 @@ def scratch_root(spark: SparkSession) -> str:
     session. Only when the session has none (local tests) a fresh folder is
     created and set as the checkpoint dir.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tierlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        # Only for sessions without one (local tests): the conf itself cannot
+        # change at run time, so set the context's checkpoint dir.
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tierlake-ckpt-"))
+        root = sc.getCheckpointDir()
+    elif not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 

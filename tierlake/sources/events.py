@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +86,7 @@ def append_events(spark: SparkSession, root: str, events: list[dict]) -> None:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path and not path.startswith("file:"):
-        return os.path.exists(path)
+    """Through the cluster's file system (a bare path means the default FS)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
