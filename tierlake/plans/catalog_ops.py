@@ -204,6 +204,35 @@ def lineage_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("downstream_table", "operation", F.array_join(up, ",").alias("upstream"))
 
 
+def incident_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 -> R6 -> R7 on real telemetry: the observed run's incident (the
+    broken gold mart), its upstream tables within the batch, and every
+    table with evidence, ranked (most upstream first)."""
+    telemetry, batch_id = observed_run(spark, sf_dir)
+    evs = ev.read_events(spark, telemetry).where(F.col("batch_id") == batch_id)
+    kind = F.col("event_type")
+    lin = evs.where(kind == "lineage")
+    table_of = lin.select("artifact_id", F.col("downstream_table").alias("table"))
+    failures = evs.where((kind == "execution") & (F.col("status") == "FAILED")) \
+                  .join(table_of, "artifact_id")
+    anomalies = evs.where(kind == "anomaly").join(table_of, "artifact_id")
+    drifts = evs.where(kind == "schema_drift").join(table_of, "artifact_id")
+    inc = incident.incident_choice(failures, anomalies, by=["batch_id"], ts="timestamp",
+                                   cols=["table"])
+    closure = incident.lineage_closure(
+        incident.lineage_edges(lin), inc.select("batch_id", F.col("table").alias("node")),
+        max_depth=20, group=["batch_id"])
+    sev = incident.SEVERITY
+    evidence = (failures.select("table", F.lit(sev["failure"]).alias("severity"))
+                .unionByName(anomalies.select("table", F.lit(sev["anomaly"]).alias("severity")))
+                .unionByName(drifts.select("table", F.lit(sev["drift"]).alias("severity")))
+                .groupBy(F.col("table").alias("node")).agg(F.max("severity").alias("severity")))
+    ranked = incident.rank_root_causes(closure, evidence, group=["batch_id"], top=None)
+    return ranked.join(inc, "batch_id").select(
+        "incident_type", F.col("table").alias("incident_table"), "node", "depth", "severity",
+        "rank")
+
+
 # --------------------------------------------------------------------------
 # Incident analysis on the events table
 # --------------------------------------------------------------------------
@@ -347,6 +376,7 @@ QUERIES = {
     "landing_ingest": landing_ingest,
     "run_status": run_status,
     "lineage_capture": lineage_capture,
+    "incident_rca": incident_rca,
     "latest_failure": latest_failure,
     "latest_anomaly": latest_anomaly,
     "incident_choice": incident_choice,

@@ -84,6 +84,11 @@ ORACLE_OPS: dict[str, str] = {
           ('gold.orders', 'silver_to_gold_aggregation', 'silver.orders'),
           ('gold.order_priority', 'silver_to_gold_aggregation', 'silver.orders')
         ) t(downstream_table, operation, upstream)""",
+    "incident_rca": """
+        SELECT * FROM (VALUES
+          ('failure', 'gold.order_priority', 'bronze.orders', 2, 1, 1),
+          ('failure', 'gold.order_priority', 'gold.order_priority', 0, 3, 2)
+        ) t(incident_type, incident_table, node, depth, severity, rank)""",
     "latest_failure": """
         SELECT user_id, ts, event_id, value FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id
