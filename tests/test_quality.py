@@ -78,3 +78,31 @@ def test_findings_types(spark):
     rows = f.collect()
     assert [r.check for r in rows] == ["NEGATIVE_BUSINESS_METRIC"]
     assert rows[0].column_name == "c_acctbal" and rows[0].failed_rows > 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]),
+                           st.one_of(st.none(), st.integers(-2, 2)),
+                           st.one_of(st.none(), st.floats(-5, 5, allow_nan=False))),
+                 max_size=30)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=_rows)
+def test_fused_profile_property(spark, rows):
+    df = spark.createDataFrame(rows, "k1 string, k2 int, m double")
+    checks = Checks(keys=("k1", "k2"), critical=("k2",), metrics=("m",))
+    got = quality.profile(df, checks).first().asDict()
+    groups = {}
+    for r in rows:
+        groups[(r[0], r[1])] = groups.get((r[0], r[1]), 0) + 1
+    assert got == {
+        "row_count": len(rows),
+        "null_key_rows": sum(1 for r in rows if r[0] is None or r[1] is None),
+        "duplicate_key_groups": sum(1 for n in groups.values() if n > 1),
+        "null__k2": sum(1 for r in rows if r[1] is None),
+        "null__m": sum(1 for r in rows if r[2] is None),
+        "neg__m": sum(1 for r in rows if r[2] is not None and r[2] < 0),
+    }
