@@ -204,7 +204,7 @@ def lineage_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("downstream_table", "operation", F.array_join(up, ",").alias("upstream"))
 
 
-def incident_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incident_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 -> R6 -> R7 on real telemetry: the observed run's incident (the
     broken gold mart), its upstream tables within the batch, and every
     table with evidence, ranked (most upstream first)."""
@@ -376,7 +376,7 @@ QUERIES = {
     "landing_ingest": landing_ingest,
     "run_status": run_status,
     "lineage_capture": lineage_capture,
-    "incident_rca": incident_rca,
+    "incident_origin": incident_origin,
     "latest_failure": latest_failure,
     "latest_anomaly": latest_anomaly,
     "incident_choice": incident_choice,

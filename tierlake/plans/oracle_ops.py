@@ -84,7 +84,7 @@ ORACLE_OPS: dict[str, str] = {
           ('gold.orders', 'silver_to_gold_aggregation', 'silver.orders'),
           ('gold.order_priority', 'silver_to_gold_aggregation', 'silver.orders')
         ) t(downstream_table, operation, upstream)""",
-    "incident_rca": """
+    "incident_origin": """
         SELECT * FROM (VALUES
           ('failure', 'gold.order_priority', 'bronze.orders', 2, 1, 1),
           ('failure', 'gold.order_priority', 'gold.order_priority', 0, 3, 2)
