@@ -97,3 +97,19 @@ def test_layers_stop_at_first_failure(spark):
         run_layers(spark, {"silver": [ok], "gold": [bad, never]}, tel, batch)
     ex = {r.pipeline_name: r.status for r in ev.read_events(spark, tel, "execution").collect()}
     assert ex == {"silver_ok": "SUCCESS", "gold_bad": "FAILED"}
+
+
+def test_rules_ride_in_the_check_pass(spark):
+    from tierlake.operators.rules import Rule
+    tel = scratch_path(spark, "t_tel")
+    df_rules = [Rule("id_min", "id", "min", 1, table_name="t"),
+                Rule("name_set", "name", "in_set", ["a", "b"], "WARN", "t"),
+                Rule("name_nn", "name", "not_null", table_name="t")]
+    spec = StageSpec("silver_t", "silver.t", scratch_path(spark, "t_tbl"),
+                     lambda: spark.createDataFrame([(0, "a"), (1, "b"), (1, "z"), (2, None)],
+                                                   "id long, name string"),
+                     ["bronze.t"], Checks(keys=("id",)), rules=df_rules)
+    run_stage(spark, spec, tel, "batch", "run")
+    got = {r.validation_type: (r.status, r.failed_rows)
+           for r in ev.read_events(spark, tel, "validation").collect()}
+    assert got == {"min": ("FAILED", 1), "in_set": ("FAILED", 1), "not_null": ("FAILED", 1)}

@@ -83,31 +83,37 @@ def _z(c: Column) -> Column:
     return F.coalesce(c, F.lit(0)).cast("bigint")
 
 
-def row_metrics(df: DataFrame, checks: Checks) -> list[Column]:
-    """Un-keyed metrics as aggregate expressions (usable with ``observe``)."""
+def row_metrics(df: DataFrame, checks: Checks,
+                extra: dict[str, Column] | None = None) -> list[Column]:
+    """Un-keyed metrics as aggregate expressions (usable with ``observe``).
+    ``extra``: more named count aggregates computed in the same pass."""
     exprs = [F.count(F.lit(1)).alias("row_count")]
     if checks.keys:
         exprs.append(F.count_if(any_null(list(checks.keys))).alias("null_key_rows"))
     exprs += [F.count_if(F.col(c).isNull()).alias(f"null__{c}") for c in _null_cols(checks)]
     exprs += [F.count_if(F.col(c) < 0).alias(f"neg__{c}") for c in _numeric_metrics(df, checks)]
+    exprs += [e.alias(name) for name, e in (extra or {}).items()]
     return exprs
 
 
-def profile(df: DataFrame, checks: Checks) -> DataFrame:
+def profile(df: DataFrame, checks: Checks, extra: dict[str, Column] | None = None) -> DataFrame:
     """One-row DataFrame with every count the checks need.
 
     Columns: row_count, null_key_rows, duplicate_key_groups (when keys),
-    null__<col>, neg__<col>.
+    null__<col>, neg__<col>, and one column per ``extra`` count aggregate
+    (e.g. rule violations, ``rules.rule_metrics``), all in the same pass.
     """
     null_cols = _null_cols(checks)
     neg_cols = _numeric_metrics(df, checks)
+    extra = extra or {}
     if not checks.keys or not checks.duplicate_check:
-        return df.agg(*row_metrics(df, checks))
+        return df.agg(*row_metrics(df, checks, extra))
     keys = list(checks.keys)
     per_key = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col(c).isNull()).alias(f"null__{c}") for c in null_cols],
         *[F.count_if(F.col(c) < 0).alias(f"neg__{c}") for c in neg_cols],
+        *[e.alias(name) for name, e in extra.items()],
     )
     return per_key.agg(
         _z(F.sum("_n")).alias("row_count"),
@@ -115,6 +121,7 @@ def profile(df: DataFrame, checks: Checks) -> DataFrame:
         F.count_if(F.col("_n") > 1).cast("bigint").alias("duplicate_key_groups"),
         *[_z(F.sum(f"null__{c}")).alias(f"null__{c}") for c in null_cols],
         *[_z(F.sum(f"neg__{c}")).alias(f"neg__{c}") for c in neg_cols],
+        *[_z(F.sum(name)).alias(name) for name in extra],
     )
 
 

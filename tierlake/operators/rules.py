@@ -75,13 +75,38 @@ def _violations(df: DataFrame, r: Rule, stats: dict[str, tuple]) -> Column:
     raise ValueError(f"unknown rule type {t!r}")
 
 
+def rule_metrics(df: DataFrame, rules: list[Rule]) -> dict[str, Column]:
+    """One violation-count aggregate per rule, named ``rule__<i>``. Counts
+    add up across groups, so they can ride along in another aggregation
+    pass (``quality.profile(..., extra=...)``)."""
+    stats = _zscore_stats(df, rules)
+    return {f"rule__{i}": _violations(df, r, stats).cast("bigint") for i, r in enumerate(rules)}
+
+
+def is_failed(rule: Rule, failed: int, total: int) -> bool:
+    if rule.rule_type == "null_ratio":
+        return total > 0 and failed / total > float(rule.value)
+    return failed > 0
+
+
+def results_from_counts(rules: list[Rule], counts: dict, total: int) -> list[dict]:
+    """Rule results from already-computed counts (one dict per rule)."""
+    out = []
+    for i, r in enumerate(rules):
+        failed = int(counts[f"rule__{i}"])
+        out.append({"rule_id": r.rule_id, "table_name": r.table_name,
+                    "column_name": r.column_name, "rule_type": r.rule_type,
+                    "severity": r.severity, "failed_rows": failed, "total_rows": int(total),
+                    "status": "FAILED" if is_failed(r, failed, total) else "PASSED"})
+    return out
+
+
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule: failed_rows, total_rows and PASSED / FAILED."""
     if not rules:
         raise ValueError("no rules")
     aggs = [F.count(F.lit(1)).alias("_total")]
-    stats = _zscore_stats(df, rules)
-    aggs += [_violations(df, r, stats).cast("bigint").alias(f"_r{i}") for i, r in enumerate(rules)]
+    aggs += [e.alias(f"_r{i}") for i, e in enumerate(rule_metrics(df, rules).values())]
     one = df.agg(*aggs)
     specs = []
     for i, r in enumerate(rules):

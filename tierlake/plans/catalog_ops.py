@@ -144,6 +144,13 @@ ORDERS_SCHEMA = StructType([
 ])
 
 
+SILVER_ORDER_RULES = [
+    Rule("o_price_min", "o_totalprice", "min", 0.0, table_name="silver.orders"),
+    Rule("o_status_set", "o_orderstatus", "in_set", ["O", "F"], "WARN", "silver.orders"),
+    Rule("o_prio_fmt", "o_orderpriority", "regex", r"^[1-5]-[A-Z ]+$", table_name="silver.orders"),
+]
+
+
 def observed_run(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Bronze (CSV -> table), silver (dedupe + clean), gold (two marts, the
     second one broken). Returns (telemetry_root, batch_id)."""
@@ -175,7 +182,7 @@ def observed_run(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
                              source_path=raw, expected_schema=ORDERS_SCHEMA)],
         "silver": [StageSpec("silver_orders", "silver.orders", slv, silver, ["bronze.orders"],
                              Checks(keys=("o_orderkey",), critical=("o_custkey", "o_orderdate"),
-                                    stage="silver"))],
+                                    stage="silver"), rules=SILVER_ORDER_RULES)],
         "gold": [StageSpec("gold_orders", "gold.orders", gld, gold, ["silver.orders"],
                            Checks(metrics=("o_totalprice", "date_id"), min_rows=10, stage="gold")),
                  StageSpec("gold_order_priority", "gold.order_priority", f"{root}/gold/prio",
@@ -196,6 +203,15 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("stage_name", "pipeline_name", "status", "row_count")
 
 
+def validation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V2 + S8: rule results of the silver stage, recorded as validation
+    events in the same check pass as the keyed checks."""
+    telemetry, batch_id = observed_run(spark, sf_dir)
+    va = ev.read_events(spark, telemetry, "validation").where(F.col("batch_id") == batch_id)
+    return va.select(F.get_json_object("details", "$.rule_id").alias("rule_id"),
+                     "validation_type", "status", "failed_rows")
+
+
 def lineage_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q12: lineage events of an observed run (raw path shown by name)."""
     telemetry, batch_id = observed_run(spark, sf_dir)
@@ -376,6 +392,7 @@ QUERIES = {
     "landing_ingest": landing_ingest,
     "run_status": run_status,
     "lineage_capture": lineage_capture,
+    "validation_events": validation_events,
     "incident_origin": incident_origin,
     "latest_failure": latest_failure,
     "latest_anomaly": latest_anomaly,

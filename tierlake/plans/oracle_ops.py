@@ -84,6 +84,24 @@ ORACLE_OPS: dict[str, str] = {
           ('gold.orders', 'silver_to_gold_aggregation', 'silver.orders'),
           ('gold.order_priority', 'silver_to_gold_aggregation', 'silver.orders')
         ) t(downstream_table, operation, upstream)""",
+    "validation_events": """
+        WITH c AS (
+          SELECT CAST(count_if(o_totalprice < 0) AS BIGINT) AS n_price,
+                 CAST(count_if(o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('O', 'F'))
+                      AS BIGINT) AS n_status,
+                 CAST(count_if(o_orderpriority IS NOT NULL
+                               AND NOT regexp_matches(trim(o_orderpriority), '^[1-5]-[A-Z ]+$'))
+                      AS BIGINT) AS n_prio
+          FROM orders)
+        SELECT 'o_price_min' AS rule_id, 'min' AS validation_type,
+               CASE WHEN n_price > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, n_price AS failed_rows
+        FROM c
+        UNION ALL
+        SELECT 'o_status_set', 'in_set', CASE WHEN n_status > 0 THEN 'FAILED' ELSE 'PASSED' END,
+               n_status FROM c
+        UNION ALL
+        SELECT 'o_prio_fmt', 'regex', CASE WHEN n_prio > 0 THEN 'FAILED' ELSE 'PASSED' END,
+               n_prio FROM c""",
     "incident_origin": """
         SELECT * FROM (VALUES
           ('failure', 'gold.order_priority', 'bronze.orders', 2, 1, 1),

@@ -6,11 +6,13 @@
    the declared schema (``schema_drift`` event when they differ);
 2. build the DataFrame and write it (the un-keyed check metrics ride along
    on the write through ``DataFrame.observe``: no extra scan);
-3. with a key: one keyed pass over the *stored* table (null and duplicate
-   keys, per-column nulls) -- a single shuffle on the key;
+3. with a key or validation rules: one pass over the *stored* table (null
+   and duplicate keys, per-column nulls, one violation count per rule) --
+   at most a single shuffle on the key;
 4. one ``anomaly`` event per violated check; bronze writes every row with a
    NULL key to quarantine from the executors;
-5. ``lineage`` and ``execution`` (SUCCESS, seconds, rows) events.
+5. ``lineage``, one ``validation`` per rule, and ``execution`` (SUCCESS,
+   seconds, rows) events.
 
 On any error: ``anomaly`` PIPELINE_FAILURE, ``execution`` FAILED (0 rows)
 and ``lineage`` are appended in that order, then the original exception is
@@ -31,7 +33,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
-from tierlake.operators import drift, quality
+from tierlake.operators import drift, quality, rules as rules_mod
 from tierlake.operators.quality import Checks
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import infer_schema
@@ -56,6 +58,7 @@ class StageSpec:
     build: Callable[[], DataFrame]
     upstream: Sequence[str]
     checks: Checks = field(default_factory=Checks)
+    rules: Sequence[rules_mod.Rule] = ()
     source_path: str | None = None
     expected_schema: StructType | None = None
     delimiter: str = ","
@@ -105,8 +108,10 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
 
         stored = spark.read.format(spec.fmt).load(spec.path)
         numeric = quality._numeric_metrics(stored, spec.checks)
-        if spec.checks.keys and spec.checks.duplicate_check:
-            metrics = quality.profile(stored, spec.checks).first().asDict()
+        if spec.rules or (spec.checks.keys and spec.checks.duplicate_check):
+            # one pass over the stored table: keyed checks and rule counts
+            extra = rules_mod.rule_metrics(stored, list(spec.rules)) if spec.rules else None
+            metrics = quality.profile(stored, spec.checks, extra).first().asDict()
         found = quality.findings_from_values(spark, metrics, spec.checks, numeric,
                                              spec.target).collect()  # <= one row per check
         for f in found:
@@ -122,6 +127,13 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
                           spec.source_path or spec.target)
 
         rows = int(metrics["row_count"])
+        for res in rules_mod.results_from_counts(list(spec.rules), metrics, rows):
+            out.append(ev.event(
+                "validation", **ids, timestamp=_tick(ts), **common,
+                validation_type=res["rule_type"], status=res["status"],
+                failed_rows=res["failed_rows"],
+                details={k: res[k] for k in ("rule_id", "column_name", "severity", "total_rows",
+                                             "table_name")}))
         out.append(ev.event("lineage", **ids, timestamp=_tick(ts), **lineage))
         out.append(ev.event("execution", **ids, timestamp=_tick(ts), **common, status="SUCCESS",
                             execution_time_sec=round(time.time() - t0, 2), row_count=rows,
