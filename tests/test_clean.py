@@ -117,3 +117,22 @@ def test_brands_and_category(spark):
                  for r in marts.silver_category(cat, order_by=[], audit=False).collect())
     # de-duplicated on the raw code first, so both cases survive as 'APP'
     assert got == [("APP", "Apparel"), ("APP", "Apparel")]
+
+
+def test_gold_products_joins(spark):
+    brands = spark.createDataFrame([("B1", "Acme", "CE"), ("B1", "Acme2", "CE"), ("B2", "Orph", "ZZ")],
+                                   "brand_code string, brand_name string, category_code string")
+    category = spark.createDataFrame([("CE", "Electronics")], "category_code string, category_name string")
+    cols = ("product_id string, sku string, category_code string, brand_code string, color string, "
+            "size string, material string, weight_grams int, length_cm float, width_cm float, "
+            "height_cm float, rating_count int")
+    products = spark.createDataFrame([("p1", "s", "CE", "B1", "r", "M", "x", 1, 1.0, 1.0, 1.0, 0),
+                                      ("p2", "s", "CE", "B2", "r", "M", "x", 1, 1.0, 1.0, 1.0, 0),
+                                      ("p3", "s", "CE", None, "r", "M", "x", 1, 1.0, 1.0, 1.0, 0)], cols)
+    out = marts.gold_products(brands, category, products, audit=False).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.product_id, []).append(r)
+    assert len(by["p1"]) == 2                       # duplicate brand codes multiply rows
+    assert by["p2"][0].brand_name == "Not Available"  # brand with unknown category drops out
+    assert by["p3"][0].category_name == "Not Available"

@@ -87,3 +87,20 @@ def test_rank_root_causes(spark):
                                      "node string, severity int")
     ranked = incident.rank_root_causes(closure, evidence, top=None).collect()
     assert [r.node for r in ranked] == ["bronze", "silver", "gold"]
+
+
+def test_find_incident_and_missing_lineage(spark):
+    schema = "batch_id string, stage_run_id string, artifact_id string, timestamp timestamp"
+    fail = spark.createDataFrame([("b", "r2", "a2", T0 + dt.timedelta(seconds=1))], schema)
+    anom = spark.createDataFrame([("b", "r1", "a1", T0)], schema)
+    got = incident.find_incident(fail, anom)
+    assert got["incident_type"] == "failure" and got["stage_run_id"] == "r2"
+    with pytest.raises(incident.NoIncidentError):
+        incident.find_incident(fail.limit(0), anom.limit(0))
+    lin = spark.createDataFrame([("r1", "a1", "silver.t", ["bronze.t"], "op")],
+                                "stage_run_id string, artifact_id string, downstream_table string, "
+                                "upstream_tables array<string>, operation string")
+    rec = {r.stage_run_id: r for r in incident.lineage_record(
+        spark.createDataFrame([("r1", "a1"), ("r2", "a2")], "stage_run_id string, artifact_id string"),
+        lin).collect()}
+    assert rec["r1"].downstream_table == "silver.t" and rec["r2"].downstream_table is None

@@ -73,6 +73,21 @@ def incident_choice(failures: DataFrame, anomalies: DataFrame, by: Sequence[str]
     return pick.select(*by, "incident_type", ts, *cols)
 
 
+class NoIncidentError(LookupError):
+    """Neither a failure nor an anomaly was recorded."""
+
+
+def find_incident(failures: DataFrame, anomalies: DataFrame, ts: str = "timestamp",
+                  cols: Sequence[str] = ("batch_id", "stage_run_id", "artifact_id")) -> dict:
+    """The single newest incident over all telemetry (R3), as a dict with
+    ``incident_type``; raises ``NoIncidentError`` when there is none. Only
+    the one winning row reaches the driver."""
+    row = incident_choice(failures, anomalies, ts=ts, cols=cols).first()
+    if row is None:
+        raise NoIncidentError("no failures or anomalies found in telemetry")
+    return row.asDict()
+
+
 def stage_context(events: DataFrame, stage_run_id: str,
                   kinds: Sequence[str] = ("execution", "schema_drift", "anomaly", "lineage")) -> DataFrame:
     """The evidence events of one stage run (quarantine and validation
