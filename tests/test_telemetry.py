@@ -113,3 +113,17 @@ def test_rules_ride_in_the_check_pass(spark):
     got = {r.validation_type: (r.status, r.failed_rows)
            for r in ev.read_events(spark, tel, "validation").collect()}
     assert got == {"min": ("FAILED", 1), "in_set": ("FAILED", 1), "not_null": ("FAILED", 1)}
+
+
+def test_compact_events(spark):
+    src, dst = scratch_path(spark, "t_ev_src"), scratch_path(spark, "t_ev_dst")
+    for i in range(5):
+        ev.append_events(spark, src, [ev.event("lineage", "b", f"r{i}", "a", downstream_table="t",
+                                               upstream_tables=["u"]),
+                                      ev.event("execution", "b", f"r{i}", "a", status="SUCCESS")])
+    assert ev.compact_events(spark, src, dst) == 10
+    back = ev.read_events(spark, dst)
+    assert back.count() == 10 and back.where("event_type = 'lineage'").count() == 5
+    import glob
+    local = dst.replace("file:", "")
+    assert len(glob.glob(f"{local}/event_type=lineage/*.json")) == 1

@@ -116,6 +116,23 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None,
     return out
 
 
+def compact_events(spark: SparkSession, src_root: str, dst_root: str,
+                   rows_per_file: int = 1_000_000) -> int:
+    """Rewrite an event folder (many small appends) into ``dst_root`` with
+    few files per kind: events are hash-partitioned by kind and split into
+    files of at most ``rows_per_file`` rows. Corrupt lines are dropped.
+    Returns the number of events written. The source is left untouched;
+    readers switch to ``dst_root``."""
+    events = read_events(spark, src_root)
+    n = events.count()
+    if n == 0:
+        return 0
+    (events.repartition("event_type").write.mode("overwrite")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy("event_type")
+     .options(**TS_OPTIONS).json(dst_root))
+    return n
+
+
 def quarantine(bad: DataFrame, root: str, batch_id: str, stage_run_id: str, artifact_id: str,
                pipeline_name: str, source_file: str, error_type: str = "NULL_PRIMARY_KEY") -> None:
     """Write every bad row as a quarantine_record event, from the executors."""
