@@ -209,3 +209,29 @@ ORACLE_OPS: dict[str, str] = {
         ("oi_dt_nulls", "dt", "null_ratio", 0.1, "ERROR", "slv_order_items"),
     ]),
 }
+
+
+def _dims_run_sql() -> str:
+    from tierlake.plans import oracle_dims as D
+    ctes = D._w(D.RAW_BRANDS_FROM_NATION, D.SILVER_BRANDS, D.RAW_CATEGORY_FROM_REGION,
+                D.SILVER_CATEGORY, D.RAW_PRODUCTS_FROM_SUPPLIER, D.SILVER_PRODUCTS,
+                D.GOLD_PRODUCTS, D.RAW_CUSTOMERS, D.SILVER_CUSTOMERS, D.RAW_CALENDAR)
+    counts = [
+        ("brz_brands", "bronze", "raw_brands"), ("brz_category", "bronze", "raw_category"),
+        ("brz_products", "bronze", "raw_products"), ("brz_customers", "bronze", "raw_customers"),
+        ("brz_calendar", "bronze", "raw_calendar"),
+        ("slv_brands", "silver", "silver_brands"), ("slv_category", "silver", "silver_category"),
+        ("slv_products", "silver", "silver_products"),
+        ("slv_customers", "silver", "silver_customers"),
+        ("slv_date", "silver", "(SELECT DISTINCT try_strptime(date, '%d-%m-%Y') FROM raw_calendar)"),
+        ("gld_products", "gold", "gold_products"),
+        ("gld_customers", "gold", "silver_customers"),
+        ("gld_date", "gold", "(SELECT DISTINCT try_strptime(date, '%d-%m-%Y') FROM raw_calendar)"),
+    ]
+    body = " UNION ALL ".join(
+        f"SELECT '{p}' AS pipeline_name, '{s}' AS stage_name, 'SUCCESS' AS status, "
+        f"CAST(count(*) AS BIGINT) AS row_count FROM {src}" for p, s, src in counts)
+    return f"{ctes} {body}"
+
+
+ORACLE_OPS["dims_run"] = _dims_run_sql()
