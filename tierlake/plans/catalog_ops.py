@@ -18,13 +18,16 @@ from tierlake.operators.dedupe import dedupe
 from tierlake.operators.drift import EvolutionRules, conform, schema_diff_df
 from tierlake.operators.quality import Checks
 from tierlake.operators.rules import Rule, validate
-from tierlake.plans.catalog import fact_clean, table
+from tierlake.plans import catalog_dims as D
+from tierlake.plans.catalog import fact_clean, raw_order_items, table
 from tierlake.plans.catalog_dims import raw_customers
+from tierlake.plans.medallion import dimension_layers
 from tierlake.plans.stages import StageSpec, run_layers
 from tierlake.session import scratch_path
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import (ensure_layers, infer_schema, read_csv, table_name,
                                      with_audit, write_table)
+from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
 
 # --------------------------------------------------------------------------
 # Sources and sinks
@@ -119,8 +122,6 @@ RAW_ITEM_SCHEMA = StructType([StructField(c, StringType()) for c in (
 def landing_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11 incremental: raw order items land as CSV files (two drops); an
     availableNow file stream loads each drop into bronze exactly once."""
-    from tierlake.plans.catalog import raw_order_items
-    from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
     root = scratch_path(spark, "landing")
     raw = raw_order_items(table(spark, sf_dir, "lineitem"))
     first = F.col("order_id").cast("long") % 2 == 0
@@ -207,9 +208,6 @@ def dims_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11-M12 on the dimension pipeline: raw CSVs projected from nation,
     region, supplier, customer and orders go through bronze, silver and gold
     with their checks; one execution row per table."""
-    from tierlake.plans import catalog_dims as D
-    from tierlake.plans.medallion import dimension_layers
-    from tierlake.streaming.landing import CSV_TEXT_OPTIONS
     root = scratch_path(spark, "dims_run")
     sources = {
         "brands": D.raw_brands_from_nation(table(spark, sf_dir, "nation")),
