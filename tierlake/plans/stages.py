@@ -63,6 +63,9 @@ class StageSpec:
     expected_schema: StructType | None = None
     delimiter: str = ","
     fmt: str = "parquet"
+    # Share of raw rows CSV inference reads for the drift check (1.0: all,
+    # as a full discovery scan; lower it on very large raw inputs).
+    inference_sampling_ratio: float = 1.0
 
 
 def _tick(last: list[dt.datetime]) -> dt.datetime:
@@ -88,7 +91,8 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
     t0 = time.time()
     try:
         if stage == "bronze" and spec.expected_schema is not None and spec.source_path:
-            actual = infer_schema(spark, spec.source_path, spec.delimiter)
+            actual = infer_schema(spark, spec.source_path, spec.delimiter,
+                                  spec.inference_sampling_ratio)
             diff = drift.schema_diff(spec.expected_schema, actual)
             if diff:
                 exp = {f.name: drift.type_name(f.dataType) for f in spec.expected_schema.fields}
