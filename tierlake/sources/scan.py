@@ -21,7 +21,10 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+    matches = fs.globStatus(p)  # a plain path or a glob
+    if matches is None:
+        return 0
+    return sum(int(fs.getContentSummary(st.getPath()).getLength()) for st in matches)
 
 
 def spread(df: DataFrame, size_bytes: int, min_partitions: int | None = None,
