@@ -127,3 +127,29 @@ def test_compact_events(spark):
     import glob
     local = dst.replace("file:", "")
     assert len(glob.glob(f"{local}/event_type=lineage/*.json")) == 1
+
+
+def test_stage_may_rebuild_the_table_it_reads(spark):
+    tel = scratch_path(spark, "t_tel")
+    path = scratch_path(spark, "t_self")
+    spark.range(5).write.parquet(path)
+    spec = StageSpec("silver_self", "silver.self", path,
+                     lambda: spark.read.parquet(path).withColumn("x", F.lit(1)), ["silver.self"],
+                     Checks())
+    assert run_stage(spark, spec, tel, "batch", "run")["row_count"] == 5
+    back = spark.read.parquet(path)
+    assert back.count() == 5 and "x" in back.columns
+
+
+def test_failed_write_keeps_old_table(spark):
+    tel = scratch_path(spark, "t_tel")
+    path = scratch_path(spark, "t_keep")
+    spark.range(7).write.parquet(path)
+
+    def build():
+        return spark.range(3).select(F.raise_error(F.lit("boom")).alias("id"))
+
+    spec = StageSpec("silver_keep", "silver.keep", path, build, ["x"], Checks())
+    with pytest.raises(Exception):
+        run_stage(spark, spec, tel, "batch", "run")
+    assert spark.read.parquet(path).count() == 7  # the old table is whole

@@ -4,8 +4,10 @@
 
 1. bronze only: discovery read of the raw files and schema diff against
    the declared schema (``schema_drift`` event when they differ);
-2. build the DataFrame and write it (the un-keyed check metrics ride along
-   on the write through ``DataFrame.observe``: no extra scan);
+2. build the DataFrame and write it to a staging folder, then swap it into
+   place (so a stage may rebuild the table it reads, and a failed write
+   leaves the old table whole); the un-keyed check metrics ride along on
+   the write through ``DataFrame.observe``: no extra scan;
 3. with a key or validation rules: one pass over the *stored* table (null
    and duplicate keys, per-column nulls, one violation count per rule) --
    at most a single shuffle on the key;
@@ -36,7 +38,7 @@ from pyspark.sql.types import StructType
 from tierlake.operators import drift, quality, rules as rules_mod
 from tierlake.operators.quality import Checks
 from tierlake.sources import events as ev
-from tierlake.sources.ingest import infer_schema
+from tierlake.sources.ingest import infer_schema, swap_into
 
 OPERATIONS = {"bronze": "raw_to_bronze_load", "silver": "bronze_to_silver_transformation",
               "gold": "silver_to_gold_aggregation"}
@@ -107,8 +109,10 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
         df = spec.build()
         obs = Observation(f"checks_{artifact_id.replace('-', '')}")
         observed = df.observe(obs, *quality.row_metrics(df, spec.checks))
-        observed.write.format(spec.fmt).mode("overwrite").save(spec.path)
+        staging = f"{spec.path.rstrip('/')}.__staging_{artifact_id}"
+        observed.write.format(spec.fmt).mode("overwrite").save(staging)
         metrics = dict(obs.get)
+        swap_into(spark, staging, spec.path)  # the plan may read spec.path itself
 
         stored = spark.read.format(spec.fmt).load(spec.path)
         numeric = quality._numeric_metrics(stored, spec.checks)

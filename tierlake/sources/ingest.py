@@ -74,6 +74,26 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "ove
     w.saveAsTable(name)
 
 
+def swap_into(spark: SparkSession, staging: str, path: str) -> None:
+    """Replace the folder ``path`` with the fully written ``staging`` folder.
+
+    Writing to a staging folder first means a plan may read the table it
+    replaces (a plain overwrite deletes it before reading it) and a failed
+    write leaves the old table whole. The swap is a delete plus a rename on
+    the cluster file system (atomic rename on HDFS-like stores).
+    """
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(dst) and not fs.delete(dst, True):
+        raise OSError(f"could not remove {path}")
+    parent = dst.getParent()
+    if parent is not None and not fs.exists(parent):
+        fs.mkdirs(parent)
+    if not fs.rename(src, dst):
+        raise OSError(f"could not move {staging} to {path}")
+
+
 def table_name(key: str, catalog: str | None = None, names: dict[str, str] | None = None) -> str:
     """Layer-qualified name from a key: 'slv_' -> silver, 'gld_' -> gold,
     otherwise bronze. With a catalog the 3-part name drops the prefix."""
