@@ -72,3 +72,13 @@ def test_stage_context(spark):
     summary = {r.stage_run_id: r for r in incident.stage_summary(ev.read_events(spark, root)).collect()}
     assert summary["run1"].n_execution == 1 and summary["run1"].n_anomaly == 1
     assert summary["run2"].n_lineage == 0
+
+
+def test_table_rebuilt_from_its_own_path(spark):
+    prefix = f"t{uuid.uuid4().hex[:8]}_"
+    root = scratch_path(spark, "t_wh")
+    ensure_layers(spark, root, prefix=prefix)
+    name, path = prefix + table_name("slv_rebuild"), f"{root}/rebuild"
+    write_table(spark.range(4), name, path=path)
+    write_table(spark.read.parquet(path).selectExpr("id * 10 AS id"), name, path=path)
+    assert sorted(r.id for r in spark.table(name).collect()) == [0, 10, 20, 30]

@@ -123,6 +123,9 @@ def compact_events(spark: SparkSession, src_root: str, dst_root: str,
     files of at most ``rows_per_file`` rows. Corrupt lines are dropped.
     Returns the number of events written. The source is left untouched;
     readers switch to ``dst_root``."""
+    if src_root.rstrip("/") == dst_root.rstrip("/"):
+        raise ValueError("compact into a new folder: overwriting the source would delete it "
+                         "before it is read")
     events = read_events(spark, src_root)
     n = events.count()
     if n == 0:

@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -64,8 +66,24 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "ove
     """Store ``df`` as a catalog table (full overwrite by default).
 
     With ``path`` the table is external at that location (use a shared
-    folder on a cluster). Never overwrite a table the same plan reads.
+    folder on a cluster). An overwrite at a path goes through a staging
+    folder that is swapped in after the write succeeded, so the plan may
+    read the old table and a failed write keeps it whole.
     """
+    if path and mode == "overwrite":
+        spark = df.sparkSession
+        staging = f"{path.rstrip('/')}.__staging_{uuid.uuid4().hex}"
+        w = df.write.format(fmt).mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.save(staging)
+        swap_into(spark, staging, path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay
+        parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+        spark.sql(f"CREATE TABLE {name} USING {fmt}{parts} LOCATION '{path}'")
+        if partition_by:
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+        return
     w = df.write.format(fmt).mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
