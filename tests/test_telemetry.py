@@ -153,3 +153,11 @@ def test_failed_write_keeps_old_table(spark):
     with pytest.raises(Exception):
         run_stage(spark, spec, tel, "batch", "run")
     assert spark.read.parquet(path).count() == 7  # the old table is whole
+
+
+def test_quarantine_keeps_every_bad_row(spark):
+    root = scratch_path(spark, "t_q")
+    df = spark.range(100).select(F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id"))
+                                 .alias("k"), "id")
+    ev.quarantine(df.where(F.col("k").isNull()), root, "b", "r", "a", "p", "src.csv")
+    assert ev.read_events(spark, root, "quarantine_record").count() == 25  # no 10-row cap
