@@ -104,3 +104,25 @@ def test_find_incident_and_missing_lineage(spark):
         spark.createDataFrame([("r1", "a1"), ("r2", "a2")], "stage_run_id string, artifact_id string"),
         lin).collect()}
     assert rec["r1"].downstream_table == "silver.t" and rec["r2"].downstream_table is None
+
+
+@pytest.mark.parametrize("seed,max_depth", [(4, 5), (5, 1), (6, 9)])
+def test_closure_depth_bounds(spark, seed, max_depth):
+    rnd = random.Random(seed)
+    n = 30
+    edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(45)}
+    starts = rnd.sample(range(n), 3)
+    e = spark.createDataFrame(sorted(edges), "child long, parent long")
+    s = spark.createDataFrame([(x,) for x in starts], "node long")
+    got = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=max_depth).collect()}
+    assert got == bfs(edges, starts, max_depth)
+
+
+def test_closure_long_chain(spark):
+    chain = [(i, i + 1) for i in range(12)]
+    e = spark.createDataFrame(chain, "child long, parent long")
+    s = spark.createDataFrame([(0,)], "node long")
+    got = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=20).collect()}
+    assert got == {i: i for i in range(13)}
+    got7 = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=7).collect()}
+    assert got7 == {i: i for i in range(8)}
