@@ -75,10 +75,14 @@ def main() -> None:
     # Session warm-up (JIT, first-use class loading) outside the timings.
     force(catalog.fact_mart(spark, os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")))
 
-    results: dict[str, float] = {}
+    results: dict[str, float | None] = {}
+    errors: dict[str, str] = {}
     for name in names:
         q = registry.QUERIES[name]
-        results[name] = round(timed(lambda: force(q(spark, sf_dir)), runs), 3)
+        try:
+            results[name] = round(timed(lambda: force(q(spark, sf_dir)), runs), 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep timing the rest
+            results[name], errors[name] = None, f"{type(exc).__name__}: {str(exc)[:200]}"
 
     silver = catalog.fact_clean(spark, sf_dir)
     gold = catalog.fact_mart(spark, sf_dir)
@@ -99,7 +103,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
         "metric": "headline_total_median_sec",
-        "value": round(sum(results[n] for n in names), 3),
+        "value": round(sum(results[n] or 0.0 for n in names), 3),
         "unit": "sec",
         "queries": results,
         "sf": float(m.group(1)) if m else sf_dir,
@@ -108,6 +112,8 @@ def main() -> None:
         "fused_check_speedup": round(checks_unfused / checks_fused, 2) if checks_fused else None,
         "check_runs": {"fused": fused_runs, "per_job": unfused_runs},
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
