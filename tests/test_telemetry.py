@@ -161,3 +161,53 @@ def test_quarantine_keeps_every_bad_row(spark):
                                  .alias("k"), "id")
     ev.quarantine(df.where(F.col("k").isNull()), root, "b", "r", "a", "p", "src.csv")
     assert ev.read_events(spark, root, "quarantine_record").count() == 25  # no 10-row cap
+
+
+def test_import_one_file_per_event_layout(spark, tmp_path):
+    import json as _json
+
+    def put(folder, name, doc):
+        d = tmp_path / folder
+        d.mkdir(parents=True, exist_ok=True)
+        (d / name).write_text(_json.dumps(doc, indent=4) if isinstance(doc, dict) else doc)
+
+    base = {"batch_id": "b1", "stage_run_id": "r1", "artifact_id": "a1"}
+    put("logs/execution", "1.json", {**base, "event_type": "execution",
+                                     "timestamp": "2025-08-01 10:00:00.123456",
+                                     "pipeline_name": "p", "stage_name": "silver",
+                                     "status": "FAILED", "execution_time_sec": 1.5,
+                                     "row_count": 0, "retry_count": 0})
+    put("logs/anomalies", "2.json", {**base, "event_type": "anomaly",
+                                     "timestamp": "2025-08-01 09:59:59.000001",
+                                     "pipeline_name": "p", "stage_name": "silver",
+                                     "anomaly_type": "PIPELINE_FAILURE",
+                                     "details": {"error": "boom", "failed_rows": 3}})
+    put("logs/schema", "3.json", {**base, "event_type": "schema_drift",
+                                  "timestamp": "2025-08-01 09:00:00.000000",
+                                  "expected_schema": {"a": "IntegerType()"},
+                                  "actual_schema": {"a": "StringType()"},
+                                  "missing_columns": [], "extra_columns": ["x"],
+                                  "type_changes": {"a": {"expected": "IntegerType()",
+                                                         "actual": "StringType()"}}})
+    put("logs/lineage", "4.json", {**base, "event_type": "lineage",
+                                   "timestamp": "2025-08-01 10:00:00.200000",
+                                   "upstream_tables": ["bronze.t"], "downstream_table": "silver.t",
+                                   "operation": "bronze_to_silver_transformation"})
+    put("quarantine", "5.json", {**base, "event_type": "quarantine_record",
+                                 "timestamp": "2025-08-01 08:00:00.000000", "source_file": "f.csv",
+                                 "error_type": "NULL_PRIMARY_KEY", "raw_record": {"id": None, "n": "x"},
+                                 "repair_attempted": False, "repair_status": "NOT_ATTEMPTED"})
+    put("logs/lineage", "broken.json", "{not json")
+    dst = scratch_path(spark, "t_legacy")
+    assert ev.import_legacy_events(spark, str(tmp_path), dst) == 5
+    evs = {r.event_type: r for r in ev.read_events(spark, dst).collect()}
+    assert set(evs) == {"execution", "anomaly", "schema_drift", "lineage", "quarantine_record"}
+    assert evs["execution"].status == "FAILED" and evs["execution"].timestamp.microsecond == 123456
+    assert _json.loads(evs["anomaly"].details)["failed_rows"] == 3
+    assert evs["schema_drift"].type_changes["a"]["actual"] == "StringType()"
+    assert evs["lineage"].upstream_tables == ["bronze.t"]
+    assert _json.loads(evs["quarantine_record"].raw_record)["n"] == "x"
+    from tierlake.operators import incident
+    fail = ev.read_events(spark, dst, "execution").where("status = 'FAILED'")
+    got = incident.find_incident(fail, ev.read_events(spark, dst, "anomaly"))
+    assert got["incident_type"] == "failure"  # strictly newer than the anomaly

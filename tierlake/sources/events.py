@@ -136,6 +136,51 @@ def compact_events(spark: SparkSession, src_root: str, dst_root: str,
     return n
 
 
+# Folders of a one-file-per-event telemetry layout, per kind.
+LEGACY_FOLDERS = {
+    "execution": "logs/execution",
+    "schema_drift": "logs/schema",
+    "lineage": "logs/lineage",
+    "anomaly": "logs/anomalies",
+    "validation": "logs/validation",
+    "quarantine_record": "quarantine",
+}
+
+
+def read_legacy_events(spark: SparkSession, base: str) -> DataFrame:
+    """Events stored one pretty-printed JSON document per file, in one
+    folder per kind under ``base`` (``LEGACY_FOLDERS``). Nested ``details``
+    and ``raw_record`` objects keep their JSON text; text timestamps are
+    parsed; a missing folder contributes nothing and unreadable files are
+    skipped. Returns frames in this module's event schema."""
+    fields = [StructField(f.name, _S) if f.name == "timestamp" else f for f in EVENT_FIELDS]
+    schema = StructType(fields + [StructField("_corrupt_record", _S)])
+    out = None
+    for kind, folder in LEGACY_FOLDERS.items():
+        path = f"{base.rstrip('/')}/{folder}"
+        if not _exists(spark, path):
+            continue
+        df = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+        df = df.where(F.col("_corrupt_record").isNull() & F.col("batch_id").isNotNull())
+        df = df.select(*[F.col(n).try_cast("timestamp").alias(n) if n == "timestamp" else F.col(n)
+                         for n in FIELD_NAMES], F.lit(kind).alias("event_type"))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.createDataFrame([], StructType(EVENT_FIELDS + [StructField("event_type", _S)]))
+    return out
+
+
+def import_legacy_events(spark: SparkSession, base: str, dst_root: str) -> int:
+    """Copy a one-file-per-event telemetry folder into ``dst_root`` (this
+    module's layout); returns the number of events."""
+    events = read_legacy_events(spark, base)
+    n = events.count()
+    if n:
+        write_events(events, dst_root)
+    return n
+
+
 def quarantine(bad: DataFrame, root: str, batch_id: str, stage_run_id: str, artifact_id: str,
                pipeline_name: str, source_file: str, error_type: str = "NULL_PRIMARY_KEY") -> None:
     """Write every bad row as a quarantine_record event, from the executors."""
