@@ -102,3 +102,22 @@ def test_dimension_and_fact_layers(spark, tmp_path):
     assert fact[("O1", "P1")].net_amount == 35.3 and fact[("O1", "P1")].net_amount_inr == 3117
     assert fact[("O1", "P1")].coupon_flag == 1
     assert fact[("O1", "P2")].net_amount_inr is None and fact[("O1", "P2")].coupon_flag == 0
+
+
+def test_command_line_run_and_diagnose(spark, tmp_path, capsys):
+    from tierlake import __main__ as cli
+    raw = tmp_path / "raw"
+    for name, text in CSV.items():
+        (raw / name).mkdir(parents=True)
+        (raw / name / f"{name}.csv").write_text(text)
+    root = scratch_path(spark, "t_cli")
+    assert cli.main(["run", "dims", "--raw", str(raw), "--root", root]) == 0
+    assert cli.main(["run", "facts", "--raw", str(raw), "--root", root]) == 0
+    report = cli.diagnose(spark, f"{root}/telemetry")
+    # no failure: the newest anomaly is from the fact gold table
+    assert report["incident"]["incident_type"] == "anomaly"
+    assert report["incident"]["table"] == "gold.gld_fact_order_items"
+    nodes = [c["node"] for c in report["root_causes"]]
+    assert nodes[0] == "bronze.brz_order_items"  # most upstream table with evidence (drift)
+    assert cli.main(["diagnose", "--telemetry", f"{root}/telemetry"]) == 0
+    assert "incident: anomaly at gold.gld_fact_order_items" in capsys.readouterr().out
