@@ -106,3 +106,30 @@ def test_fused_profile_property(spark, rows):
         "null__m": sum(1 for r in rows if r[2] is None),
         "neg__m": sum(1 for r in rows if r[2] is not None and r[2] < 0),
     }
+
+
+_drows = st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3),
+                            st.one_of(st.none(), st.integers(-3, 3)),
+                            st.sampled_from(["x", "y", None])), min_size=1, max_size=25)
+
+
+def _py_key(v, desc):
+    # NULLs first ascending (last descending): (is-not-null, value) ordering
+    return (v is not None, v if v is not None else 0)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=_drows, desc=st.booleans())
+def test_ordered_dedupe_property(spark, rows, desc):
+    df = spark.createDataFrame(rows, "k string, g int, o int, s string")
+    got = {(r.k, r.g): (r.o, r.s) for r in dedupe(df, ["k", "g"], order_by=["o"],
+                                                  descending=desc).collect()}
+    want = {}
+    for k, g, o, s in rows:
+        cand = (o, s)
+        cur = want.get((k, g))
+        key = (_py_key(o, desc), _py_key(s, desc))
+        if cur is None or (key > (_py_key(cur[0], desc), _py_key(cur[1], desc)) if desc
+                           else key < (_py_key(cur[0], desc), _py_key(cur[1], desc))):
+            want[(k, g)] = cand
+    assert got == want
