@@ -126,3 +126,29 @@ def test_closure_long_chain(spark):
     assert got == {i: i for i in range(13)}
     got7 = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=7).collect()}
     assert got7 == {i: i for i in range(8)}
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_ev = st.lists(st.tuples(st.sampled_from(["r1", "r2", "r3"]), st.integers(0, 5),
+                         st.integers(0, 10_000)), max_size=12)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(fails=_ev, anoms=_ev)
+def test_incident_choice_property(spark, fails, anoms):
+    schema = "run string, ts timestamp, id long"
+    to_rows = (lambda xs: [(r, T0 + dt.timedelta(seconds=s), i) for r, s, i in xs])
+    f, a = spark.createDataFrame(to_rows(fails), schema), spark.createDataFrame(to_rows(anoms), schema)
+    got = {r.run: (r.incident_type, r.ts) for r in
+           incident.incident_choice(f, a, by=["run"], ts="ts", cols=["id"]).collect()}
+    want = {}
+    for run in {r for r, _, _ in fails + anoms}:
+        lf = max((s for r, s, _ in fails if r == run), default=None)
+        la = max((s for r, s, _ in anoms if r == run), default=None)
+        if lf is not None and (la is None or lf > la):
+            want[run] = ("failure", T0 + dt.timedelta(seconds=lf))
+        else:
+            want[run] = ("anomaly", T0 + dt.timedelta(seconds=la))
+    assert got == want
