@@ -60,3 +60,31 @@ def test_rules_match_manual_counts(spark):
     z = li.where(F.abs(F.col("l_quantity") - st.m) / st.s > 1.5).count()
     assert res["z"].failed_rows == z and res["z"].status == ("FAILED" if z else "PASSED")
     assert res["n"].status == "PASSED" and res["q"].total_rows == li.count()
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rrows = st.lists(st.tuples(st.one_of(st.none(), st.integers(-5, 5)),
+                            st.sampled_from(["ab1", "AB", "x", None])), min_size=0, max_size=20)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=_rrows)
+def test_rules_property(spark, rows):
+    import re
+    df = spark.createDataFrame(rows, "v int, s string")
+    rules = [Rule("nn", "v", "not_null"), Rule("mn", "v", "min", 0), Rule("mx", "v", "max", 3),
+             Rule("in", "s", "in_set", ["AB", "x"]), Rule("rx", "s", "regex", r"^[a-z]+\d$"),
+             Rule("nr", "s", "null_ratio", 0.25)]
+    got = {r.rule_id: (r.failed_rows, r.status) for r in validate(df, rules).collect()}
+    n = len(rows)
+    vs, ss = [r[0] for r in rows], [r[1] for r in rows]
+    counts = {"nn": sum(v is None for v in vs), "mn": sum(v is not None and v < 0 for v in vs),
+              "mx": sum(v is not None and v > 3 for v in vs),
+              "in": sum(s is not None and s not in ("AB", "x") for s in ss),
+              "rx": sum(s is not None and not re.search(r"^[a-z]+\d$", s) for s in ss),
+              "nr": sum(s is None for s in ss)}
+    want = {k: (c, "FAILED" if (c > 0 if k != "nr" else n > 0 and c / n > 0.25) else "PASSED")
+            for k, c in counts.items()}
+    assert got == want
