@@ -152,3 +152,21 @@ def test_incident_choice_property(spark, fails, anoms):
         else:
             want[run] = ("anomaly", T0 + dt.timedelta(seconds=la))
     assert got == want
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_grouped_closure_matches_bfs_per_group(spark, seed):
+    rnd = random.Random(seed)
+    rows, starts = [], []
+    want = {}
+    for g in ("b1", "b2", "b3"):
+        edges = {(rnd.randrange(15), rnd.randrange(15)) for _ in range(25)}
+        rows += [(g, c, p) for c, p in sorted(edges)]
+        st_nodes = rnd.sample(range(15), 2)
+        starts += [(g, s) for s in st_nodes]
+        want.update({(g, n): d for n, d in bfs(edges, st_nodes, 8).items()})
+    e = spark.createDataFrame(rows, "batch_id string, child long, parent long")
+    s = spark.createDataFrame(starts, "batch_id string, node long")
+    got = {(r.batch_id, r.node): r.depth
+           for r in incident.lineage_closure(e, s, max_depth=8, group=["batch_id"]).collect()}
+    assert got == want
