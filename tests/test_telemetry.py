@@ -31,6 +31,9 @@ def test_events_round_trip_and_missing(spark):
     bad = [r for r in ev.read_events(spark, root, "anomaly", with_corrupt=True)
            .select("batch_id", "_corrupt_record").collect() if r._corrupt_record is not None]
     assert len(bad) == 1 and bad[0].batch_id is None
+    report = ev.unreadable_events(spark, root).collect()
+    assert len(report) == 1 and report[0].file_path.endswith("broken.json")
+    assert report[0].line == "{not json"
 
 
 def test_unknown_event_field():

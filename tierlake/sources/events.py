@@ -116,6 +116,19 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None,
     return out
 
 
+def unreadable_events(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the event folder that do not parse as an event, with the
+    file each came from (the report side of "unreadable files are
+    skipped"). Read as text: a line is unreadable when it has no JSON
+    ``timestamp`` (every valid event has one)."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], "file_path string, line string")
+    text = spark.read.text(root)
+    return (text.where(F.get_json_object("value", "$.timestamp").isNull()
+                       & (F.trim("value") != ""))
+            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line")))
+
+
 def compact_events(spark: SparkSession, src_root: str, dst_root: str,
                    rows_per_file: int = 1_000_000) -> int:
     """Rewrite an event folder (many small appends) into ``dst_root`` with
