@@ -37,3 +37,17 @@ def add_columns(df: DataFrame, new: list[StructField],
             yield pa.RecordBatch.from_arrays([*old, *compute(batch)], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``, the first by a hash of the key columns
+    (all columns if none are given).
+
+    A first filter on the hash leaves about twice as many as asked for, so the
+    sort at the end sees a bounded number of rows whatever the size and the
+    number of tasks. Counts ``df`` (a job)."""
+    h = F.xxhash64(F.lit("sample"), *(key or df.columns))
+    total = df.count()
+    share = min(1.0, (2 * rows + 50) / max(total, 1))
+    near = df.withColumn("_h", h).where(F.pmod(F.xxhash64("_h"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return near.orderBy("_h").limit(rows).drop("_h")

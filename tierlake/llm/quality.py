@@ -10,7 +10,7 @@ changes the cost and the name of the first rejecting rule, never the verdict.
 
 Everything is DataFrame functions on one row at a time: no shuffle, no
 Python, and no state beyond one document. The sample is ``SAMPLE`` documents
-at most, by the hash of the text.
+at most, by a hash of the row.
 
 Defined results: NULL and empty texts have no words and fail the rule on the
 number of words; repeated rows are judged alike; an empty table has an empty
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierlake.llm.frames import hash_sample
 from tierlake.session import cut_lineage
 
 #: Most documents that costs and selectivities are estimated on.
@@ -188,9 +189,8 @@ class Estimate:
 
 
 def sample(df: DataFrame, text: str = "text", rows: int = SAMPLE) -> DataFrame:
-    """At most ``rows`` documents, by the hash of the text, stored."""
-    picked = df.withColumn("_h", F.xxhash64(_text(text))).orderBy("_h").limit(rows).drop("_h")
-    return cut_lineage(picked)
+    """At most ``rows`` documents, by a hash of the row, stored."""
+    return cut_lineage(hash_sample(df, rows).select(text))
 
 
 def estimate(picked: DataFrame, rules: list[Rule]) -> list[Estimate]:
