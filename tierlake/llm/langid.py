@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField
 
 from tierlake.llm.frames import add_columns
+from tierlake.session import cut_lineage
 
 PER_LANGUAGE = 1000
 LANGUAGES = 200
@@ -100,10 +101,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
         F.col(lang).alias("lang"), F.col(text).alias("text"))
     frequent = [r.lang for r in known.groupBy("lang").count().orderBy(
         F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    # Distinct texts by hash; a filter on the hash leaves about twice the rows
+    # wanted of each language, and of those the first are taken.
+    hashes = cut_lineage(known.where(F.col("lang").isin(frequent)).select(
+        "lang", F.xxhash64("text").alias("h")).distinct())
+    sizes = hashes.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    share = F.least(F.lit(1.0), (2 * PER_LANGUAGE + 50) / F.col("n"))
+    near = hashes.join(F.broadcast(sizes), "lang").where(
+        F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * float(1 << 40)).drop("n")
     first = Window.partitionBy("lang").orderBy("h")
-    # Distinct texts by hash, then the first of each language: small rows only.
-    hashes = known.where(F.col("lang").isin(frequent)).select("lang", F.xxhash64("text").alias("h")).distinct()
-    chosen = hashes.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).drop("k")
+    chosen = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).drop("k")
     texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
