@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierlake.llm.frames import hash_sample
 from tierlake.session import cut_lineage
 
 #: Vectors of the sample that the partitions are learnt from.
@@ -285,8 +286,8 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     if not width:
         return empty
     rows = cut_lineage(rows.where(F.size("vector") == width[0].w))
-    picked = rows.select("vector", F.xxhash64("vector").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample)
-    x = _matrix(pa.chunked_array(picked.select("vector").toArrow().column("vector")).combine_chunks())
+    picked = hash_sample(rows.select("id", "vector"), sample, "id", "vector").toArrow()
+    x = np.unique(_matrix(picked.column("vector").combine_chunks()), axis=0)
     total = rows.count()
     parts = max(1, min(MOST_PARTITIONS, total // PARTITION))
     router = learn(x, parts, recall, max(1, round(k * len(x) / total)))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
-from tierlake.llm.frames import add_columns
+from tierlake.llm.frames import add_columns, hash_sample
 from tierlake.llm.pretokens import plain_words, text_block, text_slices
 from tierlake.session import cut_lineage
 
@@ -165,10 +165,10 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> DataFr
     shuffled: ids are chosen by hash first."""
     known = labels.where(F.col("label").isin(0, 1)).select(doc_id, "label")
     hashed = docs.select(doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    kinds = hashed.join(known, doc_id).groupBy("h").agg(
-        F.max("label").alias("label"), F.min(doc_id).alias(doc_id))
-    chosen = kinds.where("label = 1").orderBy("h").limit(TOXIC).unionByName(
-        kinds.where("label = 0").orderBy("h").limit(ORDINARY))
+    kinds = cut_lineage(hashed.join(known, doc_id).groupBy("h").agg(
+        F.max("label").alias("label"), F.min(doc_id).alias(doc_id)))
+    chosen = hash_sample(kinds.where("label = 1"), TOXIC, "h").unionByName(
+        hash_sample(kinds.where("label = 0"), ORDINARY, "h"))
     part = F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(1000)) >= int(1000 * DICTIONARY_SHARE)
     found = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
         "h", F.xxhash64("text"))
