@@ -2,13 +2,6 @@ import datetime
 
 import pytest
 
-from conftest import SF01
-
-
-@pytest.fixture(scope="session")
-def documents(spark):
-    return spark.read.parquet(f"{SF01}/documents.parquet")
-
 
 @pytest.fixture
 def odd_documents(spark):

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from llm_fixtures import no_documents, odd_documents  # noqa: F401
 from tierlake.llm import bpe, packing, pretokens, queries, token_count
 from tierlake.session import scratch_path
 

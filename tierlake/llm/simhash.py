@@ -240,12 +240,13 @@ def hex_digits(fp: str = "fp"):
 def deduplicate(df: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42,
                 text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with one document of each group: the one with the smallest id.
-    If rows repeat that id, one of them (the least text) stays."""
-    ids = fingerprints(df.select(doc_id, text), shingle, seed, text).select(
-        doc_id, "fp", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"))
-    found = near_duplicates(ids, radius, doc_id)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(doc_id).agg(
-        F.min("_h").alias("_h"))
+    If rows repeat that id, one of them (the least by the text's hash) stays.
+    Groups without any id keep one row of each text."""
     hashed = df.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = hashed[doc_id].eqNullSafe(kept[doc_id]) & (hashed["_h"] == kept["_h"])
-    return hashed.join(kept, same, "left_semi").drop("_h").dropDuplicates([doc_id])
+    ids = fingerprints(hashed.select(doc_id, text, "_h"), shingle, seed, text).select(doc_id, "fp", "_h")
+    found = near_duplicates(ids, radius, doc_id)
+    apart = F.when(F.col(doc_id).isNull(), F.col("_h"))
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(
+        F.col(doc_id).alias("_id"), apart.alias("_apart")).agg(F.min("_h").alias("_kept"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_h"]).drop("_h")
