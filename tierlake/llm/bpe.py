@@ -33,7 +33,7 @@ from tierlake.llm.frames import add_columns
 from tierlake.llm.pretokens import Block, Words, byte_level_starts, text_block, text_slices, words
 
 #: Text bytes of one replayed block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 NONE = np.int32(2**31 - 1)
 
 

@@ -19,12 +19,24 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Bytes of a batch that are worked on at a time, about.
+PART_BYTES = 12 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch, of about ``PART_BYTES`` on average."""
+    rows = max(1, batch.num_rows // (1 + batch.nbytes // PART_BYTES))
+    for lo in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(lo, rows)
+
+
 def add_columns(df: DataFrame, new: list[StructField],
                 make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """``df`` with columns that ``make()`` computes from each Arrow batch.
 
     ``make`` runs once in each task and returns the function for its batches.
-    Existing columns named like a new one are replaced.
+    A batch is worked on in slices of about ``PART_BYTES``, so a task holds the
+    results of one slice. Existing columns named like a new one are replaced.
     """
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -32,7 +44,7 @@ def add_columns(df: DataFrame, new: list[StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*old, *compute(batch)], names=schema.names)
 

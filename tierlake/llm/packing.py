@@ -58,7 +58,7 @@ BLOCK_IDS = 1 << 14
 SHARD_DOCS = 4000
 #: Most shards that bounds are sought for.
 MOST_SHARDS = 100_000
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Pre-tokens kept between blocks.
 KEPT = 400_000
 

@@ -36,7 +36,7 @@ from tierlake.llm.frames import add_columns
 from tierlake.llm.pretokens import space_starts, text_block, text_slices, words
 
 #: Text bytes of one block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 MARK = "▁"
 
 
