@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -19,8 +19,19 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-#: Bytes of a batch that are worked on at a time, about.
-PART_BYTES = 12 << 20
+#: Bytes of a batch that Spark sends to Python, and of the part of it that is
+#: worked on at a time, about.
+BATCH_BYTES = PART_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the Arrow batches of this session to ``BATCH_BYTES``: texts are
+    long, and several batches are held at once on both sides. A session that
+    has a lower limit keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str(1 << 62))
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -41,12 +52,14 @@ def add_columns(df: DataFrame, new: list[StructField],
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = StructType([*kept, *new])
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in (part for whole in batches for part in slices(whole)):
             old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*old, *compute(batch)], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

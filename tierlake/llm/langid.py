@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField
 
-from tierlake.llm.frames import add_columns
+from tierlake.llm.frames import add_columns, small_batches
 from tierlake.session import cut_lineage
 
 PER_LANGUAGE = 1000
@@ -125,6 +125,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
                 [pa.array([name] * len(where), pa.string()), pa.array(where), pa.array(each[where])],
                 names=["lang", "bucket", "n"])
 
+    small_batches(labelled.sparkSession)
     counted = texts.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
         F.collect_list(F.struct("bucket", "n")).alias("grams")).collect()  # a row a language

@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm.bpe import expand, spread
+from tierlake.llm.frames import small_batches
 from tierlake.llm.pretokens import byte_level_starts, text_block, text_slices, words
 
 MAGIC = b"TLIDS001"
@@ -269,6 +270,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int, t
     library = tokenizers.Tokenizer.from_str(file.decode())
     bits = bits_for(max(max(library.get_vocab().values()), end_id) + 1)
     tokenizer = spark.sparkContext.broadcast(file)
+    small_batches(spark)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
 
