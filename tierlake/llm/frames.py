@@ -29,8 +29,8 @@ def small_batches(spark: SparkSession) -> None:
     long, and several batches are held at once on both sides. A session that
     has a lower limit keeps it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, str(1 << 62))
-    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
