@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType, StringType, StructType
+from pyspark.sql.types import DataType, IntegralType, NumericType, StringType, StructType
 
 DIFF_SCHEMA = ("column_name string, change string, expected_type string, "
                "actual_type string, compatible boolean")
 
-_WIDTH = {"byte": 1, "short": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
+_WIDTH = {"tinyint": 1, "smallint": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
 
 
 def type_name(t: DataType) -> str:
@@ -93,15 +93,16 @@ class SchemaContractError(ValueError):
 
 
 def _lenient_cast(col, src: DataType, dst: DataType):
+    """``col`` as ``dst``, NULL where it doesn't fit (ANSI on or off). Text
+    becomes a whole number through an exact decimal, cut towards zero, so
+    '2.7' is 2 for every width and a value out of range is NULL."""
     if src == dst:
         return col
+    if isinstance(src, StringType) and isinstance(dst, IntegralType):
+        whole = F.regexp_extract(col, r"^\s*([+-]?\d+)(\.\d*)?\s*$", 1)
+        return F.when(whole != "", whole).try_cast("decimal(38,0)").try_cast(dst)
     if isinstance(src, StringType) and isinstance(dst, NumericType):
-        from tierlake.functions.clean import to_double, to_int
-        name = type_name(dst)
-        if name in ("byte", "short", "int", "bigint"):
-            return to_int(col).cast(dst) if name != "bigint" else \
-                F.when(col.rlike(r"^\s*[+-]?\d+\s*$"), col.try_cast("bigint"))
-        return to_double(col).cast(dst)
+        return F.trim(col).try_cast(dst)
     return col.try_cast(dst)
 
 

@@ -97,19 +97,30 @@ def swap_into(spark: SparkSession, staging: str, path: str) -> None:
 
     Writing to a staging folder first means a plan may read the table it
     replaces (a plain overwrite deletes it before reading it) and a failed
-    write leaves the old table whole. The swap is a delete plus a rename on
-    the cluster file system (atomic rename on HDFS-like stores).
+    write leaves the old table whole. The old folder is moved aside, the new
+    one takes its name, and only then is the old one deleted; if the second
+    move fails, the old folder is moved back.
     """
     jvm = spark.sparkContext._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(dst) and not fs.delete(dst, True):
-        raise OSError(f"could not remove {path}")
     parent = dst.getParent()
     if parent is not None and not fs.exists(parent):
         fs.mkdirs(parent)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not move {staging} to {path}")
+    had = fs.exists(dst)
+    if had and not fs.rename(dst, old):
+        raise OSError(f"could not move {path} aside")
+    try:
+        moved = fs.rename(src, dst)
+    except Exception:
+        moved = False
+    if not moved:
+        if had:
+            fs.rename(old, dst)
+        raise OSError(f"could not move {staging} to {path}; the old table is kept")
+    if had:
+        fs.delete(old, True)
 
 
 def table_name(key: str, catalog: str | None = None, names: dict[str, str] | None = None) -> str:
