@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierlake.operators import incident
 
@@ -85,7 +86,7 @@ def test_rank_root_causes(spark):
                                     "node string, depth int")
     evidence = spark.createDataFrame([("gold", 2), ("silver", 3), ("bronze", 1), ("raw", None)],
                                      "node string, severity int")
-    ranked = incident.rank_root_causes(closure, evidence, top=None).collect()
+    ranked = sorted(incident.rank_root_causes(closure, evidence).collect(), key=lambda r: r["rank"])
     assert [r.node for r in ranked] == ["bronze", "silver", "gold"]
 
 
@@ -124,8 +125,47 @@ def test_closure_long_chain(spark):
     s = spark.createDataFrame([(0,)], "node long")
     got = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=20).collect()}
     assert got == {i: i for i in range(13)}
-    got7 = {r.node: r.depth for r in incident.lineage_closure(e, s, max_depth=7).collect()}
-    assert got7 == {i: i for i in range(8)}
+    cut = incident.lineage_closure(e, s, max_depth=7).collect()
+    assert {r.node: r.depth for r in cut} == {i: i for i in range(8)}
+    assert all(r.truncated for r in cut)
+    assert not any(r.truncated for r in incident.lineage_closure(e, s, max_depth=12).collect())
+
+
+def test_closure_has_no_depth_bound(spark):
+    e = spark.range(299).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    s = spark.createDataFrame([(0,)], "node long")
+    out = incident.lineage_closure(e, s)
+    assert out.columns == ["node", "depth"]
+    assert {r.node: r.depth for r in out.collect()} == {i: i for i in range(300)}
+
+
+def test_closure_of_a_hub(spark):
+    """One child with a third of all edges, and NULL parents."""
+    hub = [(0, i) for i in range(1, 401)]
+    e = spark.createDataFrame(hub + [(i, i + 1000) for i in range(1, 801)] + [(5, None)],
+                              "child long, parent long")
+    s = spark.createDataFrame([(0,)], "node long")
+    got = {r.node: r.depth for r in incident.lineage_closure(e, s).collect()}
+    want = {0: 0, **{i: 1 for i in range(1, 401)}, **{i + 1000: 2 for i in range(1, 401)}}
+    assert got == want
+
+
+def test_full_ranking_equals_a_plain_sort(spark):
+    rnd = random.Random(9)
+    rows = [(g, n, rnd.randrange(4), rnd.choice([1, 2, 3]), rnd.randrange(3))
+            for g in ("a", "b") for n in range(60)]
+    closure = spark.createDataFrame([(g, n, d) for g, n, d, _, _ in rows],
+                                    "g string, node long, depth int")
+    ev = spark.createDataFrame([(g, n, s, t) for g, n, _, s, t in rows],
+                               "g string, node long, severity int, ts int")
+    got = {(r.g, r.node): r["rank"] for r in
+           incident.rank_root_causes(closure, ev, group=["g"], ts="ts").collect()}
+    for g in ("a", "b"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], -r[3], r[4], r[1]))
+        assert {(g, r[1]): i + 1 for i, r in enumerate(order)} == \
+            {k: v for k, v in got.items() if k[0] == g}
+    top = incident.rank_root_causes(closure, ev, group=["g"], ts="ts", top=3)
+    assert {(r.g, r.node): r["rank"] for r in top.collect()} == {k: v for k, v in got.items() if v <= 3}
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402

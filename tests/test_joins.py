@@ -1,24 +1,15 @@
-"""Broadcast only behind a size check (rows and bytes)."""
+"""Broadcast hints only for sides of a fixed size; no job while planning."""
 
 from pyspark.sql import functions as F
 
-from tierlake.operators.joins import fits, lookup_join
-
-
-def test_fits_rows_and_bytes(spark):
-    small = spark.range(100).select("id", F.lit("x").alias("s"))
-    assert fits(small, max_rows=100)
-    assert not fits(small, max_rows=99)
-    wide = spark.range(100).select("id", F.repeat(F.lit("y"), 10_000).alias("s"))
-    assert fits(wide, max_rows=1000, max_bytes=10 << 20)
-    assert not fits(wide, max_rows=1000, max_bytes=100_000)
+from tierlake.operators.joins import lookup_join
 
 
 def test_lookup_join_plans(spark):
     facts = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     dim = spark.range(7).select(F.col("id").alias("k"), F.lit("name").alias("v"))
-    small = lookup_join(facts, dim, "k", "left")
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    big = lookup_join(facts, dim, "k", "left", max_rows=3)
-    assert "BroadcastExchange" not in big._jdf.queryExecution().sparkPlan().toString()
-    assert big.count() == 1000 and small.count() == 1000
+    fixed = lookup_join(facts, dim, "k", "left", known_small=True)
+    assert "BroadcastHashJoin" in fixed._jdf.queryExecution().executedPlan().toString()
+    other = lookup_join(facts, dim, "k", "left")
+    assert "strategy=broadcast" not in other._jdf.queryExecution().analyzed().toString()
+    assert other.count() == 1000 and fixed.count() == 1000

@@ -74,7 +74,7 @@ def test_dimension_and_fact_layers(spark, tmp_path):
           evs.where("event_type = 'anomaly'").select("artifact_id", "anomaly_type")
           .join(table_of, "artifact_id").collect()}
     assert ("silver.slv_category", "DUPLICATE_PRIMARY_KEYS") in an        # app / APP
-    assert ("bronze.brz_customers", "NULL_PRIMARY_KEY") in an
+    assert ("bronze.brz_customers", "NULL_PRIMARY_KEY") not in an         # quarantined instead
     assert ("gold.gld_date", "LOW_ROW_COUNT") in an                       # 3 dates < 10
     assert ("silver.slv_fact_order_items", "DUPLICATE_PRIMARY_KEYS") in an  # 1 and 01
     assert ("gold.gld_fact_order_items", "MISSING_BUSINESS_METRIC") in an   # EUR: no rate

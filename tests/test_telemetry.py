@@ -1,5 +1,6 @@
 """Events, quarantine and the observed stage run (success and failure paths)."""
 
+import datetime as dt
 import uuid
 
 import pytest
@@ -28,12 +29,68 @@ def test_events_round_trip_and_missing(spark):
     with open(f"{root}/event_type=anomaly/broken.json", "w") as fh:
         fh.write("{not json\n")
     assert ev.read_events(spark, root, "anomaly").count() == 1
-    bad = [r for r in ev.read_events(spark, root, "anomaly", with_corrupt=True)
-           .select("batch_id", "_corrupt_record").collect() if r._corrupt_record is not None]
-    assert len(bad) == 1 and bad[0].batch_id is None
     report = ev.unreadable_events(spark, root).collect()
     assert len(report) == 1 and report[0].file_path.endswith("broken.json")
-    assert report[0].line == "{not json"
+    assert report[0].line == "{not json" and report[0].reason == "not JSON"
+
+
+def test_kept_and_reported_are_all_lines(spark):
+    root = scratch_path(spark, "t_bad")
+    stamp = '"timestamp":"2025-08-01T09:00:00.000000"'
+    lines = [f'{{"artifact_id":"good",{stamp}}}', f'{{"artifact_id":"n","row_count":"abc",{stamp}}}',
+             '{"artifact_id":"t","timestamp":"yesterday"}', '{"artifact_id":"none"}', '{"cut', "  "]
+    spark.createDataFrame([(x, "execution") for x in lines], "value string, event_type string") \
+        .write.partitionBy("event_type").text(root)
+    evs = ev.read_events(spark, root)
+    # the same rows whatever is selected
+    assert evs.count() == 1
+    for cols in (["artifact_id"], ["row_count"], ["timestamp"], evs.columns):
+        assert len(evs.select(*cols).collect()) == 1
+    bad = ev.unreadable_events(spark, root)
+    assert sorted(r.reason for r in bad.collect()) == ["bad value", "bad value", "no timestamp",
+                                                       "not JSON"]
+    assert bad.count() == 4
+
+
+def test_one_append_is_one_file_per_kind(spark):
+    root = scratch_path(spark, "t_files")
+    ev.append_events(spark, root, [ev.event("anomaly", "b", "r", str(i)) for i in range(20)])
+    files = [r[0] for r in ev.read_events(spark, root).select(F.lit(1)).collect()]
+    assert len(files) == 20
+    assert spark.read.text(root).select("_metadata.file_path").distinct().count() == 1
+
+
+def test_latest_over_stored_events_with_maps(spark):
+    from tierlake.operators import incident
+    root = scratch_path(spark, "t_latest")
+    ev.append_events(spark, root, [
+        ev.event("execution", "b", "r1", "a1", status="FAILED"),
+        ev.event("execution", "b", "r2", "a2", status="FAILED"),
+        ev.event("schema_drift", "b", "r2", "a2", expected_schema={"x": "int"})])
+    evs = ev.read_events(spark, root)
+    assert incident.latest_failure(evs).first().stage_run_id == "r2"
+    assert incident.latest_failure(evs, by=["batch_id"]).first().artifact_id == "a2"
+    from tierlake.operators.dedupe import dedupe
+    assert dedupe(evs, ["batch_id"], order_by=[]).count() == 1  # maps sort by their text
+
+
+def test_diagnose_uses_evidence_of_its_own_batch(spark):
+    from tierlake.__main__ import diagnose
+    root = scratch_path(spark, "t_diag")
+    t0 = dt.datetime(2025, 1, 1)
+
+    def lin(batch, art, at, table, ups):
+        return ev.event("lineage", batch, "r", art, t0 + dt.timedelta(seconds=at),
+                        downstream_table=table, upstream_tables=ups)
+    ev.append_events(spark, root, [
+        lin("old", "o1", 0, "bronze.t", ["raw"]), ev.event("schema_drift", "old", "r", "o1", t0),
+        ev.event("anomaly", "old", "r", "o1", t0),
+        lin("new", "n1", 10, "bronze.t", ["raw"]), lin("new", "n2", 11, "silver.t", ["bronze.t"]),
+        ev.event("execution", "new", "r", "n2", t0 + dt.timedelta(seconds=12), status="FAILED")])
+    report = diagnose(spark, root)
+    assert report["incident"]["table"] == "silver.t"
+    assert [(c["node"], c["severity"], c["rank"]) for c in report["root_causes"]] == \
+        [("silver.t", 3, 1)]
 
 
 def test_unknown_event_field():
@@ -201,6 +258,10 @@ def test_import_one_file_per_event_layout(spark, tmp_path):
                                  "error_type": "NULL_PRIMARY_KEY", "raw_record": {"id": None, "n": "x"},
                                  "repair_attempted": False, "repair_status": "NOT_ATTEMPTED"})
     put("logs/lineage", "broken.json", "{not json")
+    put("logs/lineage", "6.json", {**base, "timestamp": "some day"})
+    lost = {r.file_path.rsplit("/", 1)[1]: r.reason
+            for r in ev.unreadable_legacy_events(spark, str(tmp_path)).collect()}
+    assert lost == {"broken.json": "not JSON", "6.json": "bad value"}
     dst = scratch_path(spark, "t_legacy")
     assert ev.import_legacy_events(spark, str(tmp_path), dst) == 5
     evs = {r.event_type: r for r in ev.read_events(spark, dst).collect()}

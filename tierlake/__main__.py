@@ -41,36 +41,19 @@ def run(spark: SparkSession, which: str, raw_dir: str, root: str, batch_id: str
     return batch_id
 
 
-def diagnose(spark: SparkSession, telemetry: str, top: int = 5) -> dict:
-    """The latest incident, its upstream tables within the batch, and the
-    tables with evidence, most upstream first (one small result each)."""
+def diagnose(spark: SparkSession, telemetry: str, top: int | None = None) -> dict:
+    """The latest incident and the tables upstream of it in its batch that
+    carry evidence, most upstream first (all of them unless ``top`` is given:
+    at most one row per table of that batch)."""
     evs = ev.read_events(spark, telemetry)
-    kind = F.col("event_type")
-    lin = evs.where(kind == "lineage")
-    table_of = lin.select("artifact_id", F.col("downstream_table").alias("table"))
-    failures = (evs.where((kind == "execution") & (F.col("status") == "FAILED"))
-                .select("batch_id", "stage_run_id", "artifact_id", "timestamp")
-                .join(table_of, "artifact_id", "left"))
-    anomalies = (evs.where(kind == "anomaly")
-                 .select("batch_id", "stage_run_id", "artifact_id", "timestamp", "anomaly_type")
-                 .join(table_of, "artifact_id", "left"))
-    found = incident.find_incident(failures, anomalies.drop("anomaly_type"),
-                                   cols=("batch_id", "stage_run_id", "artifact_id", "table"))
-    batch = found["batch_id"]
-    starts = spark.createDataFrame([(batch, found["table"])], "batch_id string, node string")
-    closure = incident.lineage_closure(incident.lineage_edges(lin.where(F.col("batch_id") == batch)),
-                                       starts, group=["batch_id"])
-    sev = incident.SEVERITY
-    drifts = evs.where(kind == "schema_drift").select("artifact_id").join(table_of, "artifact_id")
-    evidence = (failures.where(F.col("batch_id") == batch)
-                .select("table", F.lit(sev["failure"]).alias("severity"))
-                .unionByName(anomalies.where(F.col("batch_id") == batch)
-                             .select("table", F.lit(sev["anomaly"]).alias("severity")))
-                .unionByName(drifts.select("table", F.lit(sev["drift"]).alias("severity")))
-                .groupBy(F.col("table").alias("node")).agg(F.max("severity").alias("severity")))
-    ranked = incident.rank_root_causes(closure, evidence, group=["batch_id"], top=top)
-    causes = [r.asDict() for r in ranked.orderBy("rank").collect()]  # at most `top` rows
-    return {"incident": found, "root_causes": causes}
+    newest = incident.batch_incidents(incident.events_with_table(evs), by=()).first()
+    if newest is None:
+        raise incident.NoIncidentError("no failures or anomalies found in telemetry")
+    found = newest.asDict()
+    batch = evs.where(F.col("batch_id") == found["batch_id"])
+    evidence = incident.events_with_table(batch)
+    ranked = incident.diagnose(batch, evidence, incident.batch_incidents(evidence), top)
+    return {"incident": found, "root_causes": [r.asDict() for r in ranked.orderBy("rank").collect()]}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -83,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--batch")
     d = sub.add_parser("diagnose")
     d.add_argument("--telemetry", required=True)
-    d.add_argument("--top", type=int, default=5)
+    d.add_argument("--top", type=int, default=None, help="show only the first N causes")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("tierlake").getOrCreate()
     if args.cmd == "run":

@@ -20,11 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _order_cols(df: DataFrame, keys: list[str], order_by: Sequence[str],
-                descending: bool) -> list[Column]:
+def _sortable(df: DataFrame, name: str) -> Column:
+    """The column, or its JSON text where its type holds a map (no order)."""
+    return F.to_json(F.col(name)) if "map<" in df.schema[name].dataType.simpleString() \
+        else F.col(name)
+
+
+def order_columns(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+                  descending: bool = False, rest: bool = True) -> list[Column]:
+    """Sort columns: ``order_by``, then (with ``rest``) all others but the keys."""
     order = [c for c in order_by if c not in keys]
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    cols = [F.col(c) for c in order + rest]
+    if rest:
+        order += [c for c in df.columns if c not in keys and c not in order]
+    cols = [_sortable(df, c) for c in order]
     return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in cols]
 
 
@@ -33,17 +41,20 @@ def dedupe(
     keys: Sequence[str],
     order_by: Sequence[str] | None = None,
     descending: bool = False,
+    rest: bool = True,
 ) -> DataFrame:
     """One row per key; NULL key parts compare equal (they form one group).
 
     ``order_by=None``: any row (``dropDuplicates``). ``order_by=[...]``: the
     first row by those columns then all others (ascending, NULLs first; or
     descending, NULLs last). ``order_by=[]`` orders by all non-key columns.
+    ``rest=False`` orders by ``order_by`` alone, for columns that are unique
+    within a key.
     """
     keys = list(keys)
     if order_by is None:
         return df.dropDuplicates(keys)
-    order = _order_cols(df, keys, order_by, descending)
+    order = order_columns(df, keys, order_by, descending, rest)
     if not order:
         return df.select(*keys).distinct()
     w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)

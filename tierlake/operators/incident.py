@@ -1,6 +1,6 @@
 """Incident analysis over telemetry, as DataFrame queries.
 
-* ``latest``            newest row (per group), ties broken by the other columns
+* ``latest``            newest row (per group), ties broken by ids
 * ``incident_choice``   failure only when strictly newer than the anomaly
 * ``stage_context``     the evidence events of one stage run
 * ``stage_summary``     per run: counts per kind, first and last timestamp
@@ -9,6 +9,7 @@
 * ``lineage_edges``     (batch_id, child, parent) edges from lineage events
 * ``lineage_closure``   all ancestors with least depth (frontier loop)
 * ``rank_root_causes``  ancestors with evidence, most upstream first
+* ``diagnose``          incident, upstream tables and evidence of each batch, ranked
 
 Everything is an aggregate, join or anti-join: hot groups are combined
 map-side, and no group is ever collected into one task or the driver.
@@ -18,32 +19,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tierlake.operators.dedupe import dedupe
-from tierlake.session import cut_lineage
+from tierlake.operators.dedupe import dedupe, order_columns
+from tierlake.session import scratch_path
 
 FAILURE, ANOMALY = "failure", "anomaly"
 # Evidence severity for ranking: a failure outranks an anomaly outranks drift.
 SEVERITY = {"failure": 3, "anomaly": 2, "drift": 1}
 
 
+# Ids that settle ties between rows of one timestamp, where a frame has them.
+TIE_IDS = ("stage_run_id", "artifact_id", "event_id")
+
+
 def latest(df: DataFrame, ts: str = "timestamp", by: Sequence[str] = (),
            tie: Sequence[str] = ()) -> DataFrame:
     """Newest row per group (or overall). Ties on ``ts`` go to the largest
-    ``tie`` columns, then the largest remaining columns (deterministic).
-    An empty input gives no row."""
+    ``tie`` columns, then the largest ids (``TIE_IDS``); a frame without any
+    of those ids is ordered by all its other columns. Event frames with maps
+    work: only named columns are sorted. An empty input gives no row."""
     by = list(by)
     order = [ts, *[c for c in tie if c not in by and c != ts]]
+    ids = [c for c in TIE_IDS if c in df.columns and c not in by and c not in order]
     if not by:
         # Distributed top-1: each task keeps its best row, then one merge.
-        rest = [c for c in df.columns if c not in order]
-        return df.orderBy(*[F.col(c).desc_nulls_last() for c in order + rest]).limit(1)
+        cols = order_columns(df, [], order + ids, descending=True, rest=not ids)
+        return df.orderBy(*cols).limit(1)
     # row_number() = 1 per group: planned with a map-side WindowGroupLimit,
     # so a hot group sends one row per map task through the shuffle.
-    return dedupe(df, by, order_by=order, descending=True)
+    return dedupe(df, by, order_by=order + ids, descending=True, rest=not ids)
 
 
 def latest_failure(executions: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
@@ -141,55 +149,77 @@ def direct_upstream(incidents: DataFrame, lineage: DataFrame, table_col: str = "
     return ups.join(producers, ["batch_id", "parent"])
 
 
-def lineage_closure(edges: DataFrame, starts: DataFrame, max_depth: int = 100,
+HOPS_PER_ROUND = 8  # levels walked by one job of the closure
+
+
+def lineage_closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
                     group: Sequence[str] = (), node: str = "node", child: str = "child",
-                    parent: str = "parent", checkpoint: bool = True) -> DataFrame:
+                    parent: str = "parent") -> DataFrame:
     """Every ancestor reachable from ``starts`` within ``group`` (e.g.
     the batch, or the start node itself for per-incident closures), with
-    its least depth. Start nodes are included at depth 0.
-
-    A frontier loop: join the frontier to the edges, anti-join what was
-    already reached, stop when nothing new appears or at ``max_depth``.
-    Each node is expanded once per group, so cycles and diamonds terminate
-    and the state never exceeds the reachable set. Each level is
-    checkpointed to the shared checkpoint dir (reliable; survives executor
-    loss and keeps the plan short).
+    its least depth. Start nodes are included at depth 0; NULL parents are
+    no nodes.
+
+    The walk goes on until no new node appears. A ``max_depth`` is the
+    caller's choice, and the result then has a boolean column ``truncated``
+    (on every row) that tells whether deeper ancestors were left out.
+
+    One job walks ``HOPS_PER_ROUND`` levels from the deepest nodes known,
+    keeps the least depth of each node that was not reached before, and
+    appends them to one table in the shared scratch folder. A node is new at
+    its true depth, because every shortest path crosses the level the round
+    started from; cycles and diamonds end since reached nodes are dropped.
+    The edges are stored unpartitioned, so each join shuffles or broadcasts
+    by run-time sizes and AQE can split a child with very many parents. The
+    result is one scan, whatever the depth.
     """
+    spark = edges.sparkSession
     group = list(group)
     keys = [*group, node]
-    e = edges.select(*[F.col(g) for g in group if g in edges.columns],
-                     F.col(child).alias("_child"), F.col(parent).alias("_parent")).distinct()
     edge_groups = [g for g in group if g in edges.columns]
-    # Shuffle the edges once, by the join key; checkpointing keeps that
-    # partitioning, so each level only shuffles its (small) frontier.
-    e = e.repartition(*edge_groups, "_child")
-    frontier = starts.select(*keys).distinct().withColumn("depth", F.lit(0))
-    if checkpoint:
-        e = cut_lineage(e)
-        frontier = cut_lineage(frontier)
-    levels = [frontier]
-    for d in range(1, max_depth + 1):
-        visited = levels[0].select(*keys)
-        for lv in levels[1:]:
-            visited = visited.unionByName(lv.select(*keys))
-        cond = frontier[node] == e["_child"]
-        for g in edge_groups:
-            cond = cond & (frontier[g] == e[g])
-        step = (frontier.join(e, cond)
-                .select(*[frontier[g] for g in group], F.col("_parent").alias(node))
-                .distinct()
-                .join(visited, keys, "left_anti")
-                .withColumn("depth", F.lit(d)))
-        if checkpoint:
-            step = cut_lineage(step)
-        if step.isEmpty():
+    root = scratch_path(spark, "closure")
+    (edges.where(F.col(parent).isNotNull())
+     .select(*edge_groups, F.col(child).alias("_child"), F.col(parent).alias("_parent"))
+     .write.parquet(f"{root}/edges"))
+    e = spark.read.parquet(f"{root}/edges")
+
+    # Rows keep the hop inside their round, so every round runs the same
+    # generated code: depth = (round - 1) * HOPS_PER_ROUND + hop.
+    first = starts.select(*keys).distinct().withColumn("hop", F.lit(HOPS_PER_ROUND))
+    first.write.parquet(f"{root}/reached/round=0")
+    fields = first.schema.fields
+    stored = StructType([*fields, StructField("round", IntegerType())])
+    rounds = 0
+    while max_depth is None or rounds * HOPS_PER_ROUND <= max_depth:
+        reached = spark.read.schema(stored).parquet(f"{root}/reached").select(*keys)
+        found = (spark.read.schema(StructType(fields)).parquet(f"{root}/reached/round={rounds}")
+                 .where(F.col("hop") == HOPS_PER_ROUND).withColumn("hop", F.lit(0)))
+        for hop in range(HOPS_PER_ROUND):
+            # Rows of the last level meet their edges; earlier ones pass as they are.
+            on = [F.col(f"f.{g}") == F.col(f"e.{g}") for g in edge_groups]
+            on += [F.col(f"f.{node}") == F.col("e._child"), F.col("f.hop") == hop]
+            here = F.struct(F.col(f"f.{node}").alias(node), F.col("f.hop").alias("hop"))
+            up = F.struct(F.col("e._parent").alias(node), (F.col("f.hop") + 1).alias("hop"))
+            both = F.array_compact(F.array(here, F.when(F.col("e._parent").isNotNull(), up)))
+            found = (found.alias("f").join(e.alias("e"), on, "left")
+                     .select(*[F.col(f"f.{g}").alias(g) for g in group],
+                             F.explode(both).alias("_n"))
+                     .groupBy(*group, F.col(f"_n.{node}").alias(node))
+                     .agg(F.min("_n.hop").alias("hop")))
+        rounds += 1
+        obs = Observation()
+        (found.join(reached, keys, "left_anti")
+         .observe(obs, F.count_if(F.col("hop") == HOPS_PER_ROUND).alias("deepest"))
+         .write.parquet(f"{root}/reached/round={rounds}"))
+        if not obs.get["deepest"]:
             break
-        levels.append(step)
-        frontier = step
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    depth = ((F.col("round") - 1) * HOPS_PER_ROUND + F.col("hop")).cast("int")
+    out = (spark.read.schema(stored).parquet(f"{root}/reached")
+           .select(*keys, depth.alias("depth")))
+    if max_depth is None:
+        return out
+    beyond = not out.where(F.col("depth") > max_depth).isEmpty()
+    return out.where(F.col("depth") <= max_depth).withColumn("truncated", F.lit(beyond))
 
 
 def evidence_severity(failure: Column, anomaly: Column, drift: Column) -> Column:
@@ -199,23 +229,78 @@ def evidence_severity(failure: Column, anomaly: Column, drift: Column) -> Column
 
 
 def rank_root_causes(closure: DataFrame, evidence: DataFrame, group: Sequence[str] = (),
-                     node: str = "node", ts: str | None = None, top: int | None = 1) -> DataFrame:
+                     node: str = "node", ts: str | None = None,
+                     top: int | None = None) -> DataFrame:
     """Ancestors that carry evidence, ranked most upstream first, then
     failure > anomaly > drift, then earliest ``ts`` (then node id).
 
     ``evidence`` has (node, severity[, ts]) with severity from
-    ``evidence_severity``. With ``group`` the rank restarts per group (one
-    group is one incident's ancestors, so it stays small); ``top`` keeps
-    the best ``top`` per group (None keeps all, ranked).
+    ``evidence_severity``, and matches on those ``group`` columns it has as
+    well. The rank restarts per group; column ``rank`` is always there. All
+    are ranked unless the caller names a ``top``.
+
+    The full ranking splits each group by depth and severity, the leading
+    sort columns: rows are numbered inside such a part, and the sizes of the
+    parts before it are added. One group is never sorted in one task alone.
     """
-    cand = closure.join(evidence, node).where(F.col("severity").isNotNull())
+    group = list(group)
+    on = [*[g for g in group if g in evidence.columns], node]
+    cand = closure.join(evidence, on).where(F.col("severity").isNotNull())
+    ties = [*([F.col(ts).asc_nulls_last()] if ts else []), F.col(node).asc()]
     order = [F.col("depth").desc(), F.col("severity").desc()]
-    if ts:
-        order.append(F.col(ts).asc_nulls_last())
-    order.append(F.col(node).asc())
-    w = Window.partitionBy(*group).orderBy(*order) if group else None
-    if w is None:
-        ranked = cand.orderBy(*order)
-        return ranked.limit(top) if top else ranked
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= top) if top else ranked
+    if top is not None:
+        if not group:
+            cand = cand.orderBy(*order, *ties).limit(top)
+        w = Window.partitionBy(*group).orderBy(*order, *ties)
+        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    part = [*group, "depth", "severity"]
+    before = (Window.partitionBy(*group).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    sizes = (cand.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    inner = F.row_number().over(Window.partitionBy(*part).orderBy(*ties))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in part]
+    return (cand.withColumn("_inner", inner).alias("c").join(sizes.alias("s"), same)
+            .select("c.*", (F.col("_before") + F.col("_inner")).cast("int").alias("rank"))
+            .drop("_inner"))
+
+
+def events_with_table(events: DataFrame) -> DataFrame:
+    """Failures, anomalies and drifts of event rows with the table their
+    stage run was writing (from its lineage event; NULL without one), the
+    ids, the time, and the severity of this kind of evidence."""
+    kind = F.col("event_type")
+    lineage = (events.where(kind == "lineage")
+               .select("batch_id", "artifact_id", F.col("downstream_table").alias("table"))
+               .distinct())
+    found = events.select(
+        "batch_id", "stage_run_id", "artifact_id", "timestamp",
+        evidence_severity((kind == "execution") & (F.col("status") == "FAILED"),
+                          kind == "anomaly", kind == "schema_drift").alias("severity"))
+    return (found.where(F.col("severity").isNotNull())
+            .join(lineage, ["batch_id", "artifact_id"], "left"))
+
+
+def batch_incidents(evidence: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """R3 over ``events_with_table`` rows: the incident of each batch, or the
+    newest of all with ``by=()``."""
+    cols = [c for c in ("batch_id", "stage_run_id", "artifact_id", "table") if c not in by]
+    return incident_choice(evidence.where(F.col("severity") == SEVERITY["failure"]),
+                           evidence.where(F.col("severity") == SEVERITY["anomaly"]),
+                           by=by, cols=cols)
+
+
+def diagnose(events: DataFrame, evidence: DataFrame, incidents: DataFrame,
+             top: int | None = None) -> DataFrame:
+    """R3 -> R6 -> R7: for each incident (one per batch), the tables upstream
+    of it in its own batch that carry evidence of that batch, ranked. Tables
+    of one depth and severity go by their earliest evidence."""
+    lineage = events.where(F.col("event_type") == "lineage")
+    closure = lineage_closure(lineage_edges(lineage),
+                              incidents.select("batch_id", F.col("table").alias("node")),
+                              group=["batch_id"])
+    per_table = (evidence.groupBy("batch_id", F.col("table").alias("node"))
+                 .agg(F.max("severity").alias("severity"), F.min("timestamp").alias("first_ts")))
+    ranked = rank_root_causes(closure, per_table, group=["batch_id"], ts="first_ts", top=top)
+    return ranked.join(incidents.select("batch_id", "incident_type",
+                                        F.col("table").alias("incident_table")), "batch_id")

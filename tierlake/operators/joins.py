@@ -1,67 +1,19 @@
-"""Lookup joins with a checked broadcast.
+"""Lookup joins.
 
-A side is broadcast only when its size is known to be small: inline lookup
-tables of fixed size, or a side whose size was measured by one bounded job
-(``fits``: at most ``max_rows + 1`` rows are read, and both the row count
-and the data size must be under their limits). Anything larger is left to
-Spark's planner (sort-merge join, with AQE free to switch strategy and to
-split skewed partitions at run time).
+A side is broadcast by hint only when its size is fixed in the code (inline
+lookup tables). Any other join is left to Spark's planner and to AQE, which
+chooses by the sizes it measures at run time and splits skewed partitions;
+nothing runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, MapType, StringType, StructType)
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 
-
-def _approx_bytes(df: DataFrame) -> Column:
-    """Approximate in-memory size of one row: text by its byte length,
-    nested values by their JSON text, anything else 8 bytes."""
-    parts = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (StringType, BinaryType)):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
-        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    total = F.lit(16)
-    for p in parts:
-        total = total + p
-    return total.cast("long")
-
-
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-         max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes``
-    of data. One job that reads at most ``max_rows + 1`` rows."""
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                     F.sum(_approx_bytes(df)).alias("b")).first()
-    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
-
-
-def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-               known_small: bool = False,
-               max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when it is proven small, else ``df`` unchanged."""
-    if known_small or fits(df, max_rows, max_bytes):
-        return F.broadcast(df)
-    return df
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | list[str] | Column,
-    how: str = "left",
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-    known_small: bool = False,
-    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """Join ``left`` to a lookup ``right``; broadcast ``right`` when small."""
-    return left.join(small_side(right, max_rows, known_small, max_bytes), on, how)
+def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column,
+                how: str = "left", known_small: bool = False) -> DataFrame:
+    """Join ``left`` to a lookup ``right``. ``known_small`` says that
+    ``right`` has a fixed size, and broadcasts it."""
+    return left.join(F.broadcast(right) if known_small else right, on, how)

@@ -20,12 +20,9 @@ from tierlake.session import cut_lineage
 from tierlake.sources.scan import read_parquet
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table. ``spread=True`` for inputs followed by heavy per-row
-    work (parsing, full-row sorts): a thinly split input is then spread over
-    all cores first (no-op on inputs that are already split finely)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return read_parquet(spark, path) if spread else spark.read.parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c: Column) -> Column:
@@ -99,7 +96,7 @@ def raw_order_items(lineitem: DataFrame) -> DataFrame:
 
 def fact_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: silver order items (ordered de-duplication + column cleanups)."""
-    raw = raw_order_items(table(spark, sf_dir, "lineitem", spread=True))
+    raw = raw_order_items(table(spark, sf_dir, "lineitem"))
     return marts.silver_order_items(raw, order_by=[], audit=False)
 
 

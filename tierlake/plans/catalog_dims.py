@@ -189,7 +189,7 @@ def dedupe_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lineitem row per (l_orderkey, l_linenumber), total order."""
-    return dedupe(table(spark, sf_dir, "lineitem", spread=True), ["l_orderkey", "l_linenumber"],
+    return dedupe(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"],
                   order_by=[])
 
 

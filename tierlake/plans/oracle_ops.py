@@ -49,6 +49,13 @@ def rules_sql(src: str, rules: list[tuple]) -> str:
     return f"(WITH _agg AS (SELECT {', '.join(aggs)} FROM {src}) {' UNION ALL '.join(rows)})"
 
 
+_DOC_RUNS = """
+        d AS (SELECT doc_id, lang, toxic, quality FROM documents JOIN labels USING (doc_id)),
+        newest AS (SELECT lang, max(doc_id) FILTER (toxic = 1) AS f,
+                          max(doc_id) FILTER (quality = 0) AS a FROM d GROUP BY lang),
+        inc AS (SELECT lang, CASE WHEN f > coalesce(a, -1) THEN 'failure' ELSE 'anomaly' END AS kind,
+                       greatest(coalesce(f, a), coalesce(a, f)) AS doc
+                FROM newest WHERE coalesce(f, a) IS NOT NULL)"""
 _DOC_EDGES = "edges AS (SELECT doc_id AS child, doc_id // 2 AS parent FROM documents WHERE doc_id > 0)"
 _INCIDENT_DOCS = "SELECT DISTINCT doc_id FROM labels WHERE quality = 0"
 
@@ -107,6 +114,40 @@ ORACLE_OPS: dict[str, str] = {
           ('failure', 'gold.order_priority', 'bronze.orders', 2, 1, 1),
           ('failure', 'gold.order_priority', 'gold.order_priority', 0, 3, 2)
         ) t(incident_type, incident_table, node, depth, severity, rank)""",
+    "diagnose_batches": f"""
+        WITH RECURSIVE {_DOC_RUNS},
+        evi AS (SELECT lang, doc_id, CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2
+                       WHEN lang <> 'en' AND doc_id % 7 = 0 THEN 1 END AS severity FROM d),
+        walk(lang, node, depth) AS (
+          SELECT lang, doc, 0 FROM inc
+          UNION ALL
+          SELECT w.lang, d.doc_id // 2, w.depth + 1
+          FROM walk w JOIN d ON d.lang = w.lang AND d.doc_id = w.node AND d.doc_id > 0),
+        near AS (SELECT lang, node, min(depth) AS depth FROM walk GROUP BY lang, node)
+        SELECT inc.lang AS batch_id, inc.kind AS incident_type,
+               CAST(inc.doc AS VARCHAR) AS incident_table, CAST(n.node AS VARCHAR) AS node,
+               CAST(n.depth AS INTEGER) AS depth, evi.severity,
+               CAST(row_number() OVER (PARTITION BY inc.lang ORDER BY n.depth DESC,
+                    evi.severity DESC, n.node) AS INTEGER) AS rank
+        FROM inc JOIN near n ON n.lang = inc.lang
+        JOIN evi ON evi.lang = n.lang AND evi.doc_id = n.node
+        WHERE evi.severity IS NOT NULL""",
+    "stage_evidence": f"""
+        WITH {_DOC_RUNS}, top AS (SELECT doc FROM inc ORDER BY doc DESC LIMIT 1),
+        run AS (SELECT * FROM d WHERE doc_id = (SELECT doc FROM top))
+        SELECT lang AS batch_id, CAST(doc_id AS VARCHAR) AS stage_run_id, event_type,
+               CASE WHEN event_type = 'execution'
+                    THEN CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'SUCCESS' END END AS status,
+               CASE WHEN event_type = 'lineage' THEN CAST(doc_id AS VARCHAR) END AS downstream_table
+        FROM run, (VALUES ('lineage'), ('execution'), ('anomaly'), ('schema_drift')) k(event_type)
+        WHERE event_type IN ('lineage', 'execution')
+           OR (event_type = 'anomaly' AND quality = 0)
+           OR (event_type = 'schema_drift' AND lang <> 'en' AND doc_id % 7 = 0)""",
+    "telemetry_damage": """
+        SELECT reason, count(*) AS n_lines FROM (
+          SELECT CASE event_id % 10 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'bad value'
+                 WHEN 2 THEN 'bad value' WHEN 3 THEN 'no timestamp' ELSE 'kept' END AS reason
+          FROM events WHERE event_id IS NOT NULL) GROUP BY reason""",
     "latest_failure": """
         SELECT user_id, ts, event_id, value FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id
@@ -166,16 +207,14 @@ ORACLE_OPS: dict[str, str] = {
         walk(node, depth) AS (
           SELECT doc_id, 0 FROM ({_INCIDENT_DOCS})
           UNION ALL
-          SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.node
-          WHERE w.depth < 20)
+          SELECT e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.node)
         SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node""",
     "root_cause_rank": f"""
         WITH RECURSIVE {_DOC_EDGES},
         walk(start, node, depth) AS (
           SELECT doc_id, doc_id, 0 FROM ({_INCIDENT_DOCS})
           UNION ALL
-          SELECT w.start, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.node
-          WHERE w.depth < 20),
+          SELECT w.start, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.child = w.node),
         closure AS (SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node),
         ev AS (SELECT doc_id AS node,
                       CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2 END AS severity

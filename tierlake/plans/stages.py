@@ -123,6 +123,8 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
         found = quality.findings_from_values(spark, metrics, spec.checks, numeric,
                                              spec.target).collect()  # <= one row per check
         for f in found:
+            if stage == "bronze" and f["check"] == "NULL_PRIMARY_KEY":
+                continue  # bronze rows without a key go to quarantine instead
             out.append(ev.event(
                 "anomaly", **ids, timestamp=_tick(ts), **common, anomaly_type=f["check"],
                 failed_rows=f["failed_rows"],

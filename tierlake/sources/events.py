@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType,
                                MapType, StringType, StructField, StructType, TimestampType)
@@ -81,8 +81,10 @@ def write_events(df: DataFrame, root: str) -> None:
 
 
 def append_events(spark: SparkSession, root: str, events: list[dict]) -> None:
+    """Append the events of one stage run (a few rows of the driver): one
+    task, and one file for each kind among them."""
     if events:
-        write_events(events_frame(spark, events), root)
+        write_events(events_frame(spark, events).coalesce(1), root)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -92,50 +94,69 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_events(spark: SparkSession, root: str, kind: str | None = None,
-                with_corrupt: bool = False) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def _parse(text: DataFrame, fields: list[StructField] = EVENT_FIELDS) -> DataFrame:
+    """``text`` (column ``value``) with the parsed event in ``_e``. Every line
+    is parsed once by the whole schema, whatever a caller selects later, so
+    a line is good or bad for all queries alike. Blank lines are no lines."""
+    schema = StructType(fields + [StructField(CORRUPT, _S)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **TS_OPTIONS}
+    return (text.where(F.trim("value") != "")
+            .withColumn("_e", F.from_json("value", schema, options)))
+
+
+def _good() -> Column:
+    """A parsed event: no value failed and it has its timestamp."""
+    return F.col(f"_e.{CORRUPT}").isNull() & F.col("_e.timestamp").isNotNull()
+
+
+def _reason() -> Column:
+    return (F.when(F.try_parse_json("value").isNull(), "not JSON")
+            .when(F.get_json_object("value", "$.timestamp").isNull(), "no timestamp")
+            .otherwise("bad value"))
+
+
+def _event_lines(spark: SparkSession, root: str) -> DataFrame:
+    text = spark.read.text(root)
+    if "event_type" not in text.columns:  # no kind has been written yet
+        text = text.withColumn("event_type", F.lit(None).cast("string"))
+    return text.select("value", F.col("event_type").cast("string").alias("event_type"),
+                       F.col("_metadata.file_path").alias("file_path"))
+
+
+def read_events(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
     """Events of one kind (or all). A missing folder gives an empty frame.
-    Unparseable lines are dropped (``with_corrupt=True`` keeps them in
-    ``_corrupt_record`` for reporting)."""
-    schema = StructType(EVENT_FIELDS + [StructField("_corrupt_record", _S),
-                                        StructField("event_type", _S)])
+    Lines that are no whole event are left out: ``unreadable_events`` has
+    exactly those."""
     if not _exists(spark, root):
-        out = spark.createDataFrame([], schema)
-    else:
-        out = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt_record")
-               .options(**TS_OPTIONS).json(root))
+        return spark.createDataFrame([], StructType(EVENT_FIELDS + [StructField("event_type", _S)]))
+    lines = _event_lines(spark, root)
     if kind is not None:
-        out = out.where(F.col("event_type") == kind)
-    if not with_corrupt:
-        # A valid event always has a timestamp; naming a data column here also
-        # keeps the scan from reading the corrupt-record column alone (Spark
-        # rejects that).
-        out = (out.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
-               .drop("_corrupt_record"))
-    return out
+        lines = lines.where(F.col("event_type") == kind)
+    return (_parse(lines).where(_good())
+            .select(*[F.col(f"_e.{n}").alias(n) for n in FIELD_NAMES], "event_type"))
 
 
 def unreadable_events(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of the event folder that do not parse as an event, with the
-    file each came from (the report side of "unreadable files are
-    skipped"). Read as text: a line is unreadable when it has no JSON
-    ``timestamp`` (every valid event has one)."""
+    """Lines of the event folder that ``read_events`` leaves out, with their
+    file and the reason (``not JSON``, ``no timestamp``, ``bad value``).
+    Readable and unreadable lines together are all lines but blank ones."""
     if not _exists(spark, root):
-        return spark.createDataFrame([], "file_path string, line string")
-    text = spark.read.text(root)
-    return (text.where(F.get_json_object("value", "$.timestamp").isNull()
-                       & (F.trim("value") != ""))
-            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line")))
+        return spark.createDataFrame([], "file_path string, line string, reason string")
+    return (_parse(_event_lines(spark, root)).where(~_good())
+            .select("file_path", F.col("value").alias("line"), _reason().alias("reason")))
 
 
 def compact_events(spark: SparkSession, src_root: str, dst_root: str,
                    rows_per_file: int = 1_000_000) -> int:
     """Rewrite an event folder (many small appends) into ``dst_root`` with
-    few files per kind: events are hash-partitioned by kind and split into
-    files of at most ``rows_per_file`` rows. Corrupt lines are dropped.
-    Returns the number of events written. The source is left untouched;
-    readers switch to ``dst_root``."""
+    few files: events are range-partitioned by kind and time, so a kind that
+    holds nearly all events spreads over many tasks, and files hold at most
+    ``rows_per_file`` rows. Unreadable lines stay behind. Returns the number
+    of events written. The source is left untouched; readers switch to
+    ``dst_root``."""
     if src_root.rstrip("/") == dst_root.rstrip("/"):
         raise ValueError("compact into a new folder: overwriting the source would delete it "
                          "before it is read")
@@ -143,7 +164,7 @@ def compact_events(spark: SparkSession, src_root: str, dst_root: str,
     n = events.count()
     if n == 0:
         return 0
-    (events.repartition("event_type").write.mode("overwrite")
+    (events.repartitionByRange("event_type", "timestamp", "artifact_id").write.mode("overwrite")
      .option("maxRecordsPerFile", rows_per_file).partitionBy("event_type")
      .options(**TS_OPTIONS).json(dst_root))
     return n
@@ -160,28 +181,47 @@ LEGACY_FOLDERS = {
 }
 
 
-def read_legacy_events(spark: SparkSession, base: str) -> DataFrame:
-    """Events stored one pretty-printed JSON document per file, in one
-    folder per kind under ``base`` (``LEGACY_FOLDERS``). Nested ``details``
-    and ``raw_record`` objects keep their JSON text; text timestamps are
-    parsed; a missing folder contributes nothing and unreadable files are
-    skipped. Returns frames in this module's event schema."""
+def _legacy_files(spark: SparkSession, base: str) -> DataFrame | None:
+    """One row per file of a one-file-per-event folder, parsed into ``_e``
+    (the timestamp as text and as ``_ts``); None without any folder."""
     fields = [StructField(f.name, _S) if f.name == "timestamp" else f for f in EVENT_FIELDS]
-    schema = StructType(fields + [StructField("_corrupt_record", _S)])
     out = None
     for kind, folder in LEGACY_FOLDERS.items():
         path = f"{base.rstrip('/')}/{folder}"
-        if not _exists(spark, path):
-            continue
-        df = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-        df = df.where(F.col("_corrupt_record").isNull() & F.col("batch_id").isNotNull())
-        df = df.select(*[F.col(n).try_cast("timestamp").alias(n) if n == "timestamp" else F.col(n)
-                         for n in FIELD_NAMES], F.lit(kind).alias("event_type"))
-        out = df if out is None else out.unionByName(df)
+        if _exists(spark, path):
+            files = spark.read.text(path, wholetext=True).select(
+                "value", F.col("_metadata.file_path").alias("file_path"),
+                F.lit(kind).alias("event_type"))
+            out = files if out is None else out.unionByName(files)
     if out is None:
+        return None
+    parsed = _parse(out, fields).withColumn("_ts", F.col("_e.timestamp").try_cast("timestamp"))
+    good = (F.col(f"_e.{CORRUPT}").isNull() & F.col("_e.batch_id").isNotNull()
+            & F.col("_ts").isNotNull())
+    return parsed.withColumn("_ok", F.coalesce(good, F.lit(False)))
+
+
+def read_legacy_events(spark: SparkSession, base: str) -> DataFrame:
+    """Events stored one pretty-printed JSON document per file, in one
+    folder per kind under ``base`` (``LEGACY_FOLDERS``). Nested ``details``
+    and ``raw_record`` objects keep their JSON text; text timestamps are
+    parsed; a missing folder contributes nothing. Files without a batch id
+    or a readable timestamp, or with a value of another type, are left out:
+    ``unreadable_legacy_events`` has exactly those."""
+    files = _legacy_files(spark, base)
+    if files is None:
         return spark.createDataFrame([], StructType(EVENT_FIELDS + [StructField("event_type", _S)]))
-    return out
+    return files.where("_ok").select(
+        *[F.col("_ts").alias(n) if n == "timestamp" else F.col(f"_e.{n}").alias(n)
+          for n in FIELD_NAMES], "event_type")
+
+
+def unreadable_legacy_events(spark: SparkSession, base: str) -> DataFrame:
+    """Files that ``read_legacy_events`` leaves out, with the reason."""
+    files = _legacy_files(spark, base)
+    if files is None:
+        return spark.createDataFrame([], "file_path string, reason string")
+    return files.where(~F.col("_ok")).select("file_path", _reason().alias("reason"))
 
 
 def import_legacy_events(spark: SparkSession, base: str, dst_root: str) -> int:

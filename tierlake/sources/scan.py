@@ -1,40 +1,16 @@
-"""Parquet scans that keep every core busy.
+"""Parquet scans, spread over more tasks where the caller asks for it.
 
-A large input stored as few, unsplittable pieces (one big row group, one
-file) is scanned by a single task, and every per-row step up to the first
-shuffle runs in that task. ``read_parquet`` checks the planned scan
-partitions (no job) and, only when there are fewer than the cluster's
-parallelism and the input is not tiny, adds a round-robin repartition so
-the parsing and map-side work spread out. On a real table of many files it
-changes nothing. Filters and column pruning still reach the scan: Catalyst
-pushes them through the repartition.
+An input stored as few unsplittable pieces (one big row group) is scanned by
+few tasks. A caller who knows such an input passes ``partitions``; the
+round-robin shuffle is then in the plan at every input size. Filters and
+column pruning still reach the scan.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_MIN_BYTES = 4 << 20
 
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    matches = fs.globStatus(p)  # a plain path or a glob
-    if matches is None:
-        return 0
-    return sum(int(fs.getContentSummary(st.getPath()).getLength()) for st in matches)
-
-
-def spread(df: DataFrame, size_bytes: int, min_partitions: int | None = None,
-           min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if size_bytes < min_bytes or df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    return spread(df, input_bytes(spark, path), min_partitions)
+    return df.repartition(partitions) if partitions else df
