@@ -217,6 +217,35 @@ def test_op9_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows if r.held_out]) > 0.95
 
 
+def many_languages(n):
+    """(lang, text) of ``n`` languages with a few letters each; the last have
+    the fewest texts."""
+    def text(i, salt):
+        letters = [chr(0x4E00 + 8 * i + k) for k in range(8)]
+        return " ".join("".join(letters[(j * j + salt + k) % 8] for k in range(4)) for j in range(40))
+    return [(f"l{i:03d}", text(i, salt)) for i in range(n) for salt in range(2 if i < n - 6 else 1)]
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 7)
+    rows = many_languages(206)
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == tuple(sorted({lang for lang, _ in rows}))
+    docs = spark.createDataFrame(rows[::9] + rows[-6:], "lang string, text string")
+    for r in langid.identify(docs, model).collect():
+        assert r.lang_pred == r.lang and r.languages == [r.lang]
+
+
+def test_mixture_of_seven_languages(spark):
+    rows = many_languages(206)
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    for some in (rows[-7:], rows[:14:2]):
+        whole = spark.createDataFrame([(" ".join(text for _, text in some),)], "text string")
+        found = langid.identify(whole, model).first()
+        assert sorted(found.languages) == sorted(lang for lang, _ in some)
+        assert all(abs(s - 1 / 7) < 0.05 for s in found.shares) and found.score == found.shares[0]
+
+
 def test_mixture_of_two_languages(spark, odd_documents, no_documents):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").where("length(text) > 1500")
     model = langid.fit(docs)

@@ -10,10 +10,12 @@ two, ... most probable ones; the set with the best penalised likelihood
 The prediction is the largest proportion of that set, and its share of the
 document is the score.
 
-Learning uses at most ``PER_LANGUAGE`` texts a language (by the hash of the
-text), counted in Spark; a language's counts are one row of ``BUCKETS``
-figures, so the model is bounded by the number of languages (at most
-``LANGUAGES``, the most frequent). Prediction is one pass without a shuffle.
+Every language of the labels is learnt, and a document can have any number of
+them: its set grows until the penalised likelihood stops improving. Learning
+uses at most ``PER_LANGUAGE`` texts a language (by the hash of the text),
+counted in Spark. The model holds only the n-grams that a language was seen
+with (at most ``BUCKETS`` a language, 8 bytes each); all others have the
+language's smoothing likelihood. Prediction is one pass without a shuffle.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score
 0 and no languages; a NULL language is never learnt; without any learnt
@@ -24,12 +26,13 @@ outputs are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,25 +42,28 @@ from tierlake.llm.frames import add_columns, small_batches
 from tierlake.session import cut_lineage
 
 PER_LANGUAGE = 1000
-LANGUAGES = 200
 #: Hash buckets of n-grams (of 3 characters).
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
 PENALTY = 4.0
 ROUNDS, TOLERANCE = 12, 1e-3
-#: Languages that a document can have at most.
-MOST = 4
+#: Languages whose counts a task holds at a time.
+HELD = 128
 #: N-grams of a text that are hashed at a time.
 CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages by name, and log-free likelihoods (buckets x
-    languages)."""
+    """Languages by name, and log-free likelihoods: an n-gram's likelihood in
+    a language is the language's ``base`` and, if it was seen there, an
+    ``excess``. Bucket b was seen in ``owner[starts[b] : starts[b + 1]]``."""
 
     languages: tuple[str, ...]
-    likelihood: np.ndarray
+    base: np.ndarray
+    starts: np.ndarray
+    owner: np.ndarray
+    excess: np.ndarray
 
 
 @cache
@@ -98,71 +104,97 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     """The model learnt from (a bounded sample of) ``labelled``; None without
     any language. Runs jobs."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"))
-    frequent = [r.lang for r in known.groupBy("lang").count().orderBy(
-        F.desc("count"), "lang").limit(LANGUAGES).collect()]
+        F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
     # Distinct texts by hash; a filter on the hash leaves about twice the rows
     # wanted of each language, and of those the first are taken.
-    hashes = cut_lineage(known.where(F.col("lang").isin(frequent)).select(
-        "lang", F.xxhash64("text").alias("h")).distinct())
+    hashes = cut_lineage(known.select("lang", "h").distinct())
     sizes = hashes.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     share = F.least(F.lit(1.0), (2 * PER_LANGUAGE + 50) / F.col("n"))
-    near = hashes.join(F.broadcast(sizes), "lang").where(
-        F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * float(1 << 40)).drop("n")
+    near = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * float(1 << 40)
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE).drop("k")
-    texts = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
+    chosen = hashes.join(F.broadcast(sizes), "lang").where(near).withColumn(
+        "k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE)
+    bounds = chosen.groupBy("lang", "n").agg(F.max("h").alias("last"))  # a row a language
+    texts = known.join(F.broadcast(bounds), "lang").where(near & (F.col("h") <= F.col("last")))
+
+    def counted(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, each in sums.items():
+            where = np.flatnonzero(each)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(each[where])],
+                names=["lang", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 where, times = gram_counts(body)
+                if name not in sums and len(sums) == HELD:
+                    yield from counted(sums)
+                    sums = {}
                 sums.setdefault(name, np.zeros(BUCKETS, np.int64))[where] += times
-        for name, each in sums.items():
-            where = np.flatnonzero(each)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(where), pa.string()), pa.array(where), pa.array(each[where])],
-                names=["lang", "bucket", "n"])
+        yield from counted(sums)
 
     small_batches(labelled.sparkSession)
-    counted = texts.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
-        F.collect_list(F.struct("bucket", "n")).alias("grams")).collect()  # a row a language
-    if not rows:
+    rows = texts.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy(
+        "lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
+        F.collect_list(F.struct("bucket", "n")).alias("grams")).toArrow()  # a row a language
+    if not rows.num_rows:
         return None
-    rows = sorted(rows, key=lambda r: r.lang)
-    table = np.full((len(rows), BUCKETS), SMOOTHING)
-    for k, row in enumerate(rows):
-        for g in row.grams:
-            table[k, g.bucket] += g.n
-    return LanguageModel(tuple(r.lang for r in rows), np.ascontiguousarray((table / table.sum(axis=1, keepdims=True)).T))
-
-
-def proportions(here: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+    rows = rows.sort_by("lang").combine_chunks()
+    grams = rows["grams"].combine_chunks()
+    owner = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(grams).to_numpy())
+    bucket = grams.flatten().field("bucket").to_numpy()
+    n = grams.flatten().field("n").to_numpy().astype(np.float64)
+    total = np.bincount(owner, weights=n) + SMOOTHING * BUCKETS
+    order = np.lexsort((owner, bucket))
+    return LanguageModel(
+        tuple(rows["lang"].to_pylist()), SMOOTHING / total,
+        np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), owner[order],
+        (n / total[owner])[order].astype(np.float32))
+
+
+def proportions(mix: Callable, responsible: Callable, languages: int, times: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the languages by expectation-maximisation, and the
-    log-likelihood they reach. ``here``: n-grams x languages."""
-    share = np.full(here.shape[1], 1.0 / here.shape[1])
-    mixed = here @ share
-    for _ in range(ROUNDS if len(share) > 1 else 0):
-        new = share * ((times / mixed) @ here) / times.sum()
-        done = np.abs(new - share).max() < TOLERANCE
+    log-likelihood they reach. ``mix`` gives the n-grams' likelihoods by
+    proportions of languages, ``responsible`` sums weights of n-grams by
+    likelihood for each language."""
+    share = np.full(languages, 1.0 / languages)
+    mixed = mix(share)
+    # Of many languages each starts with little, so changes are smaller.
+    tolerance = min(TOLERANCE, 0.01 / languages)
+    for _ in range(ROUNDS if languages > 1 else 0):
+        new = share * responsible(times / mixed) / times.sum()
+        done = np.abs(new - share).max() < tolerance
         share = new
-        mixed = here @ share
+        mixed = mix(share)
         if done:
             break
     return share, float(np.log(mixed) @ times)
 
 
-def infer(where: np.ndarray, times: np.ndarray, likelihood: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def infer(where: np.ndarray, times: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """Languages of a document and their proportions, largest first."""
-    here, times = likelihood[where], times.astype(np.float64)
-    share, _ = proportions(here, times)
-    order = np.argsort(-share, kind="stable")[:MOST]
+    times, base = times.astype(np.float64), model.base
+    starts = model.starts[where]
+    seen = model.starts[where + 1] - starts
+    gram = np.repeat(np.arange(len(where)), seen)
+    at = np.arange(len(gram)) + np.repeat(starts - np.cumsum(seen) + seen, seen)
+    owner, excess = model.owner[at].astype(np.intp), model.excess[at].astype(np.float64)
+    share, _ = proportions(
+        lambda share: share @ base + np.bincount(gram, excess * share[owner], len(where)),
+        lambda weight: weight.sum() * base + np.bincount(owner, excess * weight[gram], len(base)),
+        len(base), times)
+    order = np.argsort(-share, kind="stable")
     cost = PENALTY * np.log(max(times.sum(), 2)) / 2
     best, chosen = -np.inf, (order[:1], np.ones(1))
+    here = np.zeros((len(where), 0))  # n-grams x languages of the set
     for k in range(1, len(order) + 1):
-        part, reached = proportions(here[:, order[:k]], times)
+        own = owner == order[k - 1]
+        column = np.full(len(where), base[order[k - 1]])
+        column[gram[own]] += excess[own]
+        here = np.column_stack([here, column])
+        part, reached = proportions(here.__matmul__, here.__rmatmul__, k, times)
         if reached - cost * k <= best:
             break
         best, chosen = reached - cost * k, (order[:k], part)
@@ -175,13 +207,13 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text",
     """``df`` with the language of each whole text, its share, and all
     languages of the text with their shares."""
     names = model.languages if model else ()
-    table = df.sparkSession.sparkContext.broadcast(model.likelihood if model else None)
+    table = df.sparkSession.sparkContext.broadcast(model)
     fields = [StructField(prediction, StringType()), StructField(score, DoubleType()),
               StructField("languages", ArrayType(StringType())),
               StructField("shares", ArrayType(DoubleType()))]
 
     def make():
-        likelihood = table.value
+        learnt = table.value
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             out = []
@@ -190,7 +222,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text",
                 if not names or not len(where):
                     out.append(("und", 0.0, [], []))
                     continue
-                which, share = infer(where, times, likelihood)
+                which, share = infer(where, times, learnt)
                 spoken = [names[i] for i in which.tolist()]
                 out.append((spoken[0], min(1.0, float(share[0])), spoken, share.tolist()))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
