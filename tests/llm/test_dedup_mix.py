@@ -143,6 +143,26 @@ def test_deduplicate_odd_rows(spark, odd_documents, no_documents):
     assert simhash.deduplicate(no_documents).count() == 0
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    """Repeated ids lie in several groups, and some groups have no id."""
+    rng = random.Random(6)
+    rows = []
+    for group in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts = [" ".join([*words, f"end{k}"]) for k in range(3)]
+        ids = [[None], [1], [1, 2, None], [3 + group, None, 1]][group % 4]
+        rows += [(rng.choice(ids), rng.choice(texts)) for _ in range(6)]
+    groups = {}
+    distinct = sorted({brute_fingerprint(t) for _, t in rows})
+    of = dict(zip(distinct, brute_components([(k, fp) for k, fp in enumerate(distinct)]), strict=True))
+    for i, text in rows:
+        order = i is None, i or 0, simhash.signed(xxhash.xxh64_intdigest(text.encode(), seed=42))
+        groups.setdefault(of[brute_fingerprint(text)][2], []).append((order, i, text))
+    assert len(groups) == 12 and len({t for _, t in rows}) > 24
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(min(g, key=lambda x: x[0])[1:] for g in groups.values())
+
+
 # --------------------------------------------------------------------------
 # Mixing
 # --------------------------------------------------------------------------

@@ -40,7 +40,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -219,16 +219,23 @@ def links(nodes: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
     return near.unionByName(met.distinct())
 
 
+def rooted(fps: DataFrame, first: Column, radius: int, fp: str) -> DataFrame:
+    """A row for each distinct fingerprint of ``fps``: fp, ``_first`` (the
+    least ``first`` of its rows) and ``_root``, a fingerprint that stands for
+    its component. Runs jobs."""
+    nodes = cut_lineage(fps.groupBy(fp).agg(F.min(first).alias("_first")))
+    roots = components(links(nodes, radius, fp))
+    return nodes.join(roots.withColumnRenamed("node", fp), fp, "left").select(
+        fp, "_first", F.coalesce("root", F.col(fp)).alias("_root"))
+
+
 def near_duplicates(fps: DataFrame, radius: int = 4, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     """``fps`` (doc_id, fp, ...) with component_id, the smallest id of the
     component of each document. Runs jobs."""
     fps = cut_lineage(fps)
-    nodes = cut_lineage(fps.groupBy(fp).agg(F.min(doc_id).alias("_first")))
-    roots = components(links(nodes, radius, fp))
-    rooted = nodes.join(roots.withColumnRenamed("node", fp), fp, "left").withColumn(
-        "_root", F.coalesce("root", F.col(fp)))
-    smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(smallest, "_root").select(fp, "component_id")
+    nodes = rooted(fps, F.col(doc_id), radius, fp)
+    smallest = nodes.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    named = nodes.join(smallest, "_root").select(fp, "component_id")
     return fps.join(named, fp)
 
 
@@ -239,14 +246,14 @@ def hex_digits(fp: str = "fp"):
 
 def deduplicate(df: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42,
                 text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one document of each group: the one with the smallest id.
-    If rows repeat that id, one of them (the least by the text's hash) stays.
-    Groups without any id keep one row of each text."""
+    """``df`` with one document of each group: the one with the smallest id
+    (NULL last), and of those with the same id the least by the text's hash.
+    An id whose rows lie in several groups can stay in each of them."""
     hashed = df.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    ids = fingerprints(hashed.select(doc_id, text, "_h"), shingle, seed, text).select(doc_id, "fp", "_h")
-    found = near_duplicates(ids, radius, doc_id)
-    apart = F.when(F.col(doc_id).isNull(), F.col("_h"))
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(
-        F.col(doc_id).alias("_id"), apart.alias("_apart")).agg(F.min("_h").alias("_kept"))
+    prints = fingerprints(hashed.select(doc_id, text, "_h"), shingle, seed, text).select(doc_id, "fp", "_h")
+    first = F.struct(F.col(doc_id).isNull().alias("without"), F.col(doc_id).alias("id"), F.col("_h").alias("h"))
+    kept = rooted(prints, first, radius, "fp").groupBy("_root").agg(F.min("_first").alias("_kept")).select(
+        F.col("_kept.id").alias("_id"), F.col("_kept.h").alias("_kept"))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept"))
+    # Equal texts are in one group, so a kept (id, hash) names one group.
     return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_h"]).drop("_h")
