@@ -236,6 +236,15 @@ def test_every_language_is_learnt(spark, monkeypatch):
         assert r.lang_pred == r.lang and r.languages == [r.lang]
 
 
+def test_copies_of_a_text_are_learnt_once(spark):
+    rows = many_languages(3)
+    once = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    often = langid.fit(spark.createDataFrame(rows + rows[:1] * 300, "lang string, text string"))
+    assert once.languages == often.languages
+    for name in ("base", "starts", "owner", "excess"):
+        assert np.array_equal(getattr(once, name), getattr(often, name))
+
+
 def test_mixture_of_seven_languages(spark):
     rows = many_languages(206)
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))

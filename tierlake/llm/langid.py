@@ -12,8 +12,8 @@ document is the score.
 
 Every language of the labels is learnt, and a document can have any number of
 them: its set grows until the penalised likelihood stops improving. Learning
-uses at most ``PER_LANGUAGE`` texts a language (by the hash of the text),
-counted in Spark. The model holds only the n-grams that a language was seen
+uses at most ``PER_LANGUAGE`` distinct texts a language (by the hash of the
+text), counted in Spark. The model holds only the n-grams that a language was seen
 with (at most ``BUCKETS`` a language, 8 bytes each); all others have the
 language's smoothing likelihood. Prediction is one pass without a shuffle.
 
@@ -115,7 +115,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     chosen = hashes.join(F.broadcast(sizes), "lang").where(near).withColumn(
         "k", F.row_number().over(first)).where(F.col("k") <= PER_LANGUAGE)
     bounds = chosen.groupBy("lang", "n").agg(F.max("h").alias("last"))  # a row a language
-    texts = known.join(F.broadcast(bounds), "lang").where(near & (F.col("h") <= F.col("last")))
+    texts = known.join(F.broadcast(bounds), "lang").where(near & (F.col("h") <= F.col("last"))).dropDuplicates(
+        ["lang", "h"])
 
     def counted(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, each in sums.items():
