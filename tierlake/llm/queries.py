@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tierlake.llm import (
     ann,
     bpe,
+    decontam,
     langid,
     mixing,
     packing,
+    periodic,
+    phrases,
     preference,
     quality,
     simhash,
@@ -118,9 +121,41 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 first phrases of each language."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.mine(docs, least=100, most=2000, percent=100)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and whose they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (hit > 0).alias("contaminated"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document (a tenth of them with a planted one)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted().alias("text"))
+    found = periodic.find_runs(docs, least=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = F.col("m.length"), -F.col("m.shorter")
+    return found.withColumn("m", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("m.back")).alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_count, op2_toxicity, op3_quality_rules, op4_learned_partitions, op5_preference,
-    op6_byte_bpe, op7_simhash, op8_mixing, op9_language, op10_token_files)}
+    op6_byte_bpe, op7_simhash, op8_mixing, op9_language, op10_token_files, op11_collocations, op12_decontamination,
+    op13_periodic_runs)}
 
 ORACLE_SQL = {
     "op3_quality_rules": r"""
@@ -219,5 +254,64 @@ k AS (
 SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(k.copies, 0) * d.size AS BIGINT) AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 LEFT JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.size = d.size
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, size, array_to_string(s, ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, size, list_slice(w, i, i + size - 1) AS s
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS size)))
+  GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a FROM g WHERE size > 1 AND f >= 100),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS x WHERE x.lang = c.lang AND x.size > c.size AND 100 * x.a >= 100 * c.a
+    AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM kept),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n.n,
+         (1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN n ON n.lang = cuts.lang
+  JOIN g AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[:k], ' ')
+  JOIN g AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM s QUALIFY rank <= 2000
+""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS words
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+hits AS (
+  SELECT rid, i, size, item FROM (
+    SELECT rid, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS words
+    FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM d, (SELECT DISTINCT size FROM windows)))
+  JOIN windows USING (size, words)),
+covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n
+  FROM (SELECT rid, i, unnest(range(size)) AS k FROM (SELECT DISTINCT rid, i, size FROM hits)) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """,
 }
