@@ -9,18 +9,21 @@ micro-batches and stops.
 Each micro-batch is written to its own ``batch_id=<n>`` folder with
 overwrite, so a batch replayed after a failure rewrites the same folder:
 the sink stays exactly-once. Optional quality checks run per micro-batch
-and append anomaly events to the telemetry folder.
+and append anomaly events to the telemetry folder. With a ``KeyState``, keys
+that came with an earlier load (or twice in this one) are reported too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tierlake.operators import quality
 from tierlake.operators.quality import Checks
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import with_audit
+from tierlake.streaming.keystate import KeyState
 
 CSV_TEXT_OPTIONS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -44,7 +47,7 @@ def ingest_landing(spark: SparkSession, landing_dir: str, schema: StructType, ta
                    checkpoint_dir: str, checks: Checks | None = None,
                    telemetry_root: str | None = None, batch_label: str = "landing",
                    fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                   null_value: str | None = None) -> int:
+                   null_value: str | None = None, key_state: KeyState | None = None) -> int:
     """Process every new landing file, then stop. Returns the number of
     micro-batches run."""
     stream = landing_stream(spark, landing_dir, schema,
@@ -55,8 +58,12 @@ def ingest_landing(spark: SparkSession, landing_dir: str, schema: StructType, ta
         path = f"{target_dir.rstrip('/')}/batch_id={batch_id}"
         df.write.mode("overwrite").format(fmt).save(path)
         seen.append(batch_id)
+        stored = spark.read.format(fmt).load(path)
+        if key_state is not None:
+            repeated = key_state.merge(stored, batch_id)
+            if telemetry_root:
+                report_repeated(repeated, batch_id, path)
         if checks is not None and telemetry_root:
-            stored = spark.read.format(fmt).load(path)
             found = quality.findings(stored, checks, f"{batch_label}#{batch_id}").collect()
             ev.append_events(spark, telemetry_root, [
                 ev.event("anomaly", batch_label, str(batch_id), path, pipeline_name=batch_label,
@@ -64,6 +71,14 @@ def ingest_landing(spark: SparkSession, landing_dir: str, schema: StructType, ta
                          failed_rows=f["failed_rows"], details=f.asDict())
                 for f in found])
 
+    def report_repeated(repeated: DataFrame, batch_id: int, path: str) -> None:
+        found = repeated.agg(F.count(F.lit(1)).alias("keys"), F.sum("n_new").alias("rows")).first()
+        if found["keys"]:
+            ev.append_events(spark, telemetry_root, [ev.event(
+                "anomaly", batch_label, str(batch_id), path, pipeline_name=batch_label,
+                anomaly_type="DUPLICATE_KEYS_ACROSS_LOADS", failed_rows=found["rows"],
+                details={"keys": found["keys"], "key_columns": key_state.keys})])
+
     q = (stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
