@@ -29,6 +29,7 @@ result; extra columns don't matter.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,9 +73,9 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def balanced_partition(graph: np.ndarray, parts: int, seed: int = 0, slack: float = 1.1) -> np.ndarray:
-    """Partition of the graph's nodes: regions grown from spread seeds, then
-    moves to the partition of most neighbours, while none exceeds ``slack``
-    times the mean size."""
+    """Partition of the graph's nodes: regions grown in step from far-apart
+    nodes, then moves to the partition of most neighbours, or swaps where that
+    is full; none exceeds ``slack`` times the mean size."""
     n = len(graph)
     if parts == 1:
         return np.zeros(n, np.int64)
@@ -87,41 +88,76 @@ def balanced_partition(graph: np.ndarray, parts: int, seed: int = 0, slack: floa
             around[j].append(i)
     label = np.full(n, -1, np.int64)
     size = [0] * parts
-    order = rng.permutation(n).tolist()
-    spare = iter(order)
-    fronts: list[list[int]] = [[next(spare)] for _ in range(parts)]
+    fronts = [deque([node]) for node in _far_nodes(around, parts, rng)]
+    spare = deque(rng.permutation(n).tolist())
     left = n
-    while left:  # every region in turn takes one node of its front
-        for p in range(parts):
-            if size[p] >= room or not left:
-                continue
-            node = -1
-            while fronts[p] and node < 0:
-                node = fronts[p].pop(0)
-                node = node if label[node] < 0 else -1
-            while node < 0:
-                node = next(spare)
-                node = node if label[node] < 0 else -1
-            label[node] = p
-            size[p] += 1
-            left -= 1
-            fronts[p] += [j for j in around[node] if label[j] < 0]
-    for _ in range(8):
+    while left:  # the smallest region that can still grow takes a node
+        p = min(range(parts), key=lambda q: (not fronts[q], size[q]))
+        if not fronts[p]:  # what no region reaches goes to the smallest one
+            p = min(range(parts), key=lambda q: size[q])
+            while label[spare[0]] >= 0:
+                spare.popleft()
+            fronts[p].append(spare[0])
+        node = fronts[p].popleft()
+        if label[node] >= 0:
+            continue
+        label[node] = p
+        size[p] += 1
+        left -= 1
+        if size[p] < room:
+            fronts[p].extend(j for j in around[node] if label[j] < 0)
+        else:
+            fronts[p].clear()
+    for _ in range(16):
         moved = 0
+        wanted: dict[tuple[int, int], list[int]] = {}  # (from, to): nodes that would rather be there
         for i in rng.permutation(n).tolist():
             votes = np.bincount(label[around[i]], minlength=parts)
-            best = int(votes.argmax())
-            here = int(label[i])
-            if best != here and votes[best] > votes[here] and size[best] < room:
+            best, here = int(votes.argmax()), int(label[i])
+            if best == here or votes[best] <= votes[here]:
+                continue
+            back = wanted.get((best, here))
+            if size[best] < room:
                 label[i] = best
                 size[best] += 1
                 size[here] -= 1
                 moved += 1
+            elif back:  # swap with a node that wants the other way
+                label[back.pop()] = here
+                label[i] = best
+                moved += 1
+            else:
+                wanted.setdefault((here, best), []).append(i)
         if not moved:
             break
     return label
 
 
+def _far_nodes(around: list[list[int]], parts: int, rng: np.random.Generator) -> list[int]:
+    """Nodes spread over the graph: each is farthest, in steps, from those
+    before it; nodes that no step reaches count as farthest."""
+    n = len(around)
+    steps = np.full(n, n + 1, np.int64)
+    chosen = [int(rng.integers(n))]
+    while True:
+        steps[chosen[-1]] = 0
+        queue = deque([chosen[-1]])
+        while queue:
+            i = queue.popleft()
+            for j in around[i]:
+                if steps[j] > steps[i] + 1:
+                    steps[j] = steps[i] + 1
+                    queue.append(j)
+        if len(chosen) == parts:
+            return chosen
+        far = steps.max()
+        if far == n + 1:  # of the parts not reached, a node with most neighbours
+            apart = np.flatnonzero(steps == far)
+            chosen.append(int(apart[np.argmax([len(around[i]) for i in apart])]))
+        else:
+            chosen.append(int(rng.choice(np.flatnonzero(steps == far))))
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
