@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
 from llm_fixtures import no_documents, odd_documents  # noqa: F401
-from tierlake.llm import components, mixing, queries, simhash
+from tierlake.llm import components, mixing, quality, queries, simhash
 
 
 def brute_fingerprint(text):
@@ -257,3 +257,21 @@ def test_mix_comes_near_its_targets(spark):
 def test_numpy_popcount_matches_python():
     x = np.array([0, 1, 2**64 - 1, 0xF0F0], np.uint64)
     assert np.bitwise_count(x).tolist() == [int(v).bit_count() for v in x.tolist()]
+
+
+# --------------------------------------------------------------------------
+# Columns named like helpers
+# --------------------------------------------------------------------------
+
+def test_columns_named_like_helpers_stay(spark, odd_documents):
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in
+             ("_h", "_size", "_pass", "_copies", "_p_id", "_score", "_toxic", "_rejected_by", "__h")}
+    docs = odd_documents.withColumns(extra).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    values = {c: {r[0] for r in docs.select(c).collect()} for c in extra}
+    for out in (simhash.deduplicate(docs), mixing.mix(docs), quality.judge(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        for r in out.collect():
+            assert all(r[c] in values[c] for c in extra) and (r.m or {}).get("a") == r.doc_id
+    prints = simhash.fingerprints(docs, shingle=4, seed=42)
+    found = simhash.near_duplicates(prints)
+    assert found.columns.count("component_id") == 1 and found.select("component_id").count() == 10

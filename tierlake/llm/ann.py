@@ -267,14 +267,19 @@ def _routed(vectors: DataFrame, router: Router, sizes: np.ndarray | None, least:
     return vectors.select("id", "vector").mapInArrow(run, "id long, vector array<double>, part int")
 
 
+def _block_numbers(sizes: DataFrame, most: int) -> DataFrame:
+    """(part, blocks): how many blocks each partition is dealt into."""
+    return sizes.select("part", F.ceil(F.col("n") / most).alias("blocks"))
+
+
 def _blocks(rows: DataFrame, sizes: DataFrame, most: int, names: tuple[str, str, str]) -> DataFrame:
     """Rows packed into blocks of about ``most`` rows of one partition."""
-    split = rows.join(F.broadcast(sizes.select("part", F.ceil(F.col("n") / most).alias("blocks"))), "part")
+    split = rows.join(F.broadcast(_block_numbers(sizes, most)), "part")
     dealt = split.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")))
     ids, vectors, width = names
     return dealt.groupBy("part", "block").agg(
         F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows")).select(
-        "part", F.transform("rows", lambda r: r["id"]).alias(ids),
+        "part", "block", F.transform("rows", lambda r: r["id"]).alias(ids),
         F.flatten(F.transform("rows", lambda r: r["vector"])).alias(vectors),
         F.size(F.get("rows", F.lit(0))["vector"]).alias(width))
 
@@ -336,9 +341,12 @@ def search(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id",
     queries = rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
     routed = cut_lineage(_routed(queries, router, count, k + 1))
     visited = routed.groupBy("part").agg(F.count("*").alias("n"))
-    q = _blocks(routed, visited, QUERY_BLOCK, ("q_ids", "q", "q_width")).drop("q_width")
+    q = _blocks(routed, visited, QUERY_BLOCK, ("q_ids", "q", "q_width")).drop("q_width", "block")
     c = _blocks(placed, sizes, BLOCK, ("c_ids", "c", "c_width")).drop("c_width")
-    nearest = q.join(c, "part").select("q_ids", "q", "c_ids", "c").mapInArrow(
+    # A block of queries meets each block of its partition in a task of its own.
+    q = q.join(F.broadcast(_block_numbers(sizes, BLOCK)), "part").withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    nearest = q.join(c, ["part", "block"]).select("q_ids", "q", "c_ids", "c").mapInArrow(
         _compare(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -64,6 +64,14 @@ def add_columns(df: DataFrame, new: list[StructField],
     return df.mapInArrow(run, schema)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """What no column of ``df`` starts with, for names of helper columns."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """At most ``rows`` rows of ``df``, the first by a hash of the key columns
     (all columns if none are given).

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlake.llm.frames import WORD
+from tierlake.llm.frames import WORD, free_prefix
 from tierlake.session import cut_lineage
 
 #: Documents of a slice of a source and of a bin of the queue, about.
@@ -168,12 +168,13 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
         **options) -> DataFrame:
     """``df`` as the mix takes it: a row for each time that a document is
     taken. Texts are joined to the plan by id, not carried through it."""
-    sized = df.withColumn("_size", word_count(text))
-    taken = plan(sized.select(doc_id, source, F.col("_size").alias("size")), doc_id=doc_id,
+    p = free_prefix(df)
+    sized = df.withColumn(f"{p}size", word_count(text))
+    taken = plan(sized.select(doc_id, source, F.col(f"{p}size").alias("size")), doc_id=doc_id,
                  source=source, **options).where("copies > 0").select(
-        F.col("source").alias("_p_source"), F.col("doc_id").alias("_p_id"),
-        F.col("size").alias("_p_size"), F.col("copies").alias("_copies"))
-    match = (F.col(doc_id).eqNullSafe(F.col("_p_id")) & F.col(source).eqNullSafe(F.col("_p_source"))
-             & (F.col("_size") == F.col("_p_size")))
-    repeated = sized.join(taken, match).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        F.col("source").alias(f"{p}source"), F.col("doc_id").alias(f"{p}id"),
+        F.col("size").alias(f"{p}words"), F.col("copies").alias(f"{p}copies"))
+    match = (F.col(doc_id).eqNullSafe(F.col(f"{p}id")) & F.col(source).eqNullSafe(F.col(f"{p}source"))
+             & (F.col(f"{p}size") == F.col(f"{p}words")))
+    repeated = sized.join(taken, match).withColumn(f"{p}pass", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))))
     return repeated.select(*[F.col(c) for c in df.columns])

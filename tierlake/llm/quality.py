@@ -189,8 +189,10 @@ class Estimate:
 
 
 def sample(df: DataFrame, text: str = "text", rows: int = SAMPLE) -> DataFrame:
-    """At most ``rows`` documents, by a hash of the row, stored."""
-    return cut_lineage(hash_sample(df, rows).select(text))
+    """At most ``rows`` documents, by a hash of the row (maps can't be
+    hashed and have no part in it), stored."""
+    key = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return cut_lineage(hash_sample(df.select(*key), rows, *key).select(text))
 
 
 def estimate(picked: DataFrame, rules: list[Rule]) -> list[Estimate]:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from tierlake.llm.components import components
-from tierlake.llm.frames import add_columns
+from tierlake.llm.frames import add_columns, free_prefix
 from tierlake.session import cut_lineage
 
 BITS = 64
@@ -231,8 +231,9 @@ def rooted(fps: DataFrame, first: Column, radius: int, fp: str) -> DataFrame:
 
 def near_duplicates(fps: DataFrame, radius: int = 4, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
     """``fps`` (doc_id, fp, ...) with component_id, the smallest id of the
-    component of each document. Runs jobs."""
-    fps = cut_lineage(fps)
+    component of each document; an existing column of that name is replaced.
+    Runs jobs."""
+    fps = cut_lineage(fps.drop("component_id"))
     nodes = rooted(fps, F.col(doc_id), radius, fp)
     smallest = nodes.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = nodes.join(smallest, "_root").select(fp, "component_id")
@@ -249,11 +250,12 @@ def deduplicate(df: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42
     """``df`` with one document of each group: the one with the smallest id
     (NULL last), and of those with the same id the least by the text's hash.
     An id whose rows lie in several groups can stay in each of them."""
-    hashed = df.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    prints = fingerprints(hashed.select(doc_id, text, "_h"), shingle, seed, text).select(doc_id, "fp", "_h")
-    first = F.struct(F.col(doc_id).isNull().alias("without"), F.col(doc_id).alias("id"), F.col("_h").alias("h"))
-    kept = rooted(prints, first, radius, "fp").groupBy("_root").agg(F.min("_first").alias("_kept")).select(
-        F.col("_kept.id").alias("_id"), F.col("_kept.h").alias("_kept"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept"))
+    h, p = f"{free_prefix(df)}h", free_prefix(df)
+    hashed = df.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    prints = fingerprints(hashed.select(doc_id, text, h), shingle, seed, text).select(doc_id, "fp", h)
+    first = F.struct(F.col(doc_id).isNull().alias("without"), F.col(doc_id).alias("id"), F.col(h).alias("h"))
+    kept = rooted(prints, first, radius, "fp").groupBy("_root").agg(F.min("_first").alias("k")).select(
+        F.col("k.id").alias(f"{p}id"), F.col("k.h").alias(f"{p}kept"))
+    same = F.col(doc_id).eqNullSafe(F.col(f"{p}id")) & (F.col(h) == F.col(f"{p}kept"))
     # Equal texts are in one group, so a kept (id, hash) names one group.
-    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_h"]).drop("_h")
+    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, h]).drop(h)
