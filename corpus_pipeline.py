@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tierlake.llm import bpe, mixing, quality, queries, simhash
 from tierlake.llm import toxicity as toxic
+from tierlake.llm.frames import free_prefix
 from tierlake.session import scratch_path
 
 #: Toxicity is a learnt compression distance: SQL can't express it.
@@ -24,12 +25,15 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
     model = toxic.fit(docs, queries.toxic_labels(spark, sf_dir))
-    return toxic.score(docs, model, score="_score", predicted="_toxic").where("_toxic = 0").select(*docs.columns)
+    p = free_prefix(docs)
+    scored = toxic.score(docs, model, score=f"{p}score", predicted=f"{p}toxic")
+    return scored.where(F.col(f"{p}toxic") == 0).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.judge(docs, rejected_by="_rejected_by").where("_rejected_by IS NULL").select(*docs.columns)
+    by = f"{free_prefix(docs)}rejected_by"
+    return quality.judge(docs, rejected_by=by).where(F.col(by).isNull()).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
