@@ -209,9 +209,13 @@ def plain_phrases(rows, least, most, percent=100):
     for lang, f in counts.items():
         here = []
         frequent = [p for p in f if f[p] >= least and len(p) > 1]
+        around = Counter()  # most occurrences of any longer candidate that holds the phrase
+        for q in frequent:
+            for size in range(2, len(q)):
+                for i in range(len(q) - size + 1):
+                    around[q[i : i + size]] = max(around[q[i : i + size]], f[q])
         for p in frequent:
-            if any(len(q) > len(p) and 100 * f[q] >= percent * f[p]
-                   and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q in frequent):
+            if p in around and 100 * around[p] >= percent * f[p]:
                 continue
             score, k = min((1000 * f[p] * n[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
             here.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
