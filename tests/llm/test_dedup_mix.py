@@ -6,6 +6,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import xxhash
 from hypothesis import given, settings
@@ -185,7 +186,7 @@ def brute_targets(sizes, cycle=(3, 1, 2), ratio=1.5, epochs=2):
 
 
 def brute_mix(rows, epochs=2):
-    """Taken copies of (source, doc_id, size) entries."""
+    """Rows taken of (source, doc_id, size) entries, repeats counted."""
     entries = Counter(rows)
     total = {e: e[2] * n for e, n in entries.items()}
     sizes = Counter()
@@ -198,13 +199,14 @@ def brute_mix(rows, epochs=2):
         own = [e for e in entries if e[0] == source and total[e]]
         own.sort(key=lambda e: (hashlib.md5(f"42:{'' if e[1] is None else e[1]}".encode()).hexdigest(), e[1] or 0, e[2]))
         for e in own:
-            run += total[e]
-            for k in range(epochs):
-                queue.append(((run + k * sizes[source]) / target[source], source is None, source or "", e))
+            for _ in range(entries[e]):
+                run += e[2]
+                for k in range(epochs):
+                    queue.append(((run + k * sizes[source]) / target[source], source is None, source or "", e))
     queue.sort(key=lambda x: (x[:3], hashlib.md5(f"42:{'' if x[3][1] is None else x[3][1]}".encode()).hexdigest()))
     taken, run = Counter(), 0
     for *_, e in queue:
-        run += total[e]
+        run += e[2]
         if run > int(1.5 * sum(sizes.values())):
             break
         taken[e] += 1
@@ -219,7 +221,8 @@ def check_mix(spark, rows):
     for r in got:
         assert r.source_size == sizes[r.source]
         assert abs(r.target - target[r.source]) <= 1e-6 * max(1, target[r.source])
-        assert r.copies == taken[(r.source, r.doc_id, r.size)]
+        assert r.copies in (taken[(r.source, r.doc_id, r.size)] // entries[(r.source, r.doc_id, r.size)] + k for k in (0, 1))
+    assert Counter(e for r in got for e in [(r.source, r.doc_id, r.size)] * r.copies) == taken
 
 
 def test_mix_equals_a_plain_queue(spark, monkeypatch):
@@ -244,7 +247,38 @@ def test_mix_keeps_columns_and_repeats_rows(spark, odd_documents, no_documents):
     rows = [(r.source, r.doc_id, len((r.text or "").encode().split())) for r in odd_documents.collect()]
     entries, _, _, taken = brute_mix(rows)
     got = Counter((r.source, r.doc_id, len((r.text or "").encode().split())) for r in out.collect())
-    assert got == Counter({e: entries[e] * n for e, n in taken.items()})
+    assert got == taken
+
+
+def test_mix_of_a_hot_null_id(spark, monkeypatch):
+    """A third of the rows and more on one NULL id: sources still end near
+    their targets, and texts that share it are taken row by row."""
+    rows = [("a", None, f"w{i} " * 50) for i in range(3000)] + [("b", i, "x " * 50) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(7)
+    sized = [(s, i, 50) for s, i, _ in rows]
+    *_, target, taken = brute_mix(sized)
+    for parts in (10_000, 7):
+        monkeypatch.setattr(mixing, "PARTS", parts)
+        out = mixing.mix(frame).groupBy("source", "doc_id", "text").count().collect()
+        for s in "ab":
+            n = 50 * sum(r["count"] for r in out if r.source == s)
+            near = 3000 * 50 / 7 if parts == 7 else 100
+            assert abs(n - target[s]) <= near
+            assert parts == 7 or n == 50 * sum(k for e, k in taken.items() if e[0] == s)
+        assert max(r["count"] for r in out if r.source == "a") <= 2
+        assert sum(r["count"] for r in out) <= 6000
+
+
+def test_op8_sql_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 1, 2, *range(3, 60)]), rng.choice(["s", "t", None]), "w " * rng.choice([0, 1, 3, 9]))
+            for _ in range(2000)] + [(None, "t", "hot " * 4)] * 2500
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op8_mixing"]).fetchall()
+    got = queries.op8_mixing(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
 
 
 def test_mix_comes_near_its_targets(spark):

@@ -249,6 +249,22 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(frame.where("false")).count() == 0
 
 
+def test_op5_query(spark, tmp_path):
+    """Every conversation against itself with the next one's last reply;
+    NULLs, repeated turns, a missing neighbour, ids at both ends."""
+    talks = {1: [("user", "a"), ("assistant", "b")], 2: [("user", "a"), ("assistant", "c"), ("assistant", "c")],
+             3: [("assistant", "c")], 7: [("user", "q"), (None, None)], 8: [("user", "")],
+             -2**63: [("user", "low")], 2**63 - 1: [("user", "high"), ("assistant", "top")]}
+    rows = [(i, n, r, t) for i, turns in talks.items() for n, (r, t) in enumerate(turns)] + [(None, 0, "user", "none")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    full = {i: [(r or "user", t or "") for r, t in turns] for i, turns in talks.items()}
+    following = {i: full.get(i + 1 if i < 2**63 - 1 else -2**63, []) for i in full}
+    got = {r[0]: tuple(r[1:]) for r in queries.op5_preference(spark, str(tmp_path)).collect()}
+    assert got == {i: plain_pair(t, t[:-1] + following[i][-1:]) for i, t in full.items()}
+    assert got[2][0] == 3 and got[1][0] == 1
+
+
 # --------------------------------------------------------------------------
 # Languages
 # --------------------------------------------------------------------------

@@ -16,7 +16,8 @@ the result itself does; pairs are dealt evenly whatever texts they share.
 Defined results: turns are ordered by their number, ties by role and text
 (NULL first); a NULL role is "user", a NULL text is empty; a side without
 turns gives an empty completion, and with it an empty prefix; repeated rows
-are turns of their own; rows with a NULL conversation take no part.
+are turns of their own; rows with a NULL conversation take no part; an empty
+table gives no rows; a conversation of any length is one row, as its result is.
 """
 
 from __future__ import annotations
@@ -61,17 +62,37 @@ def common_prefix(chosen: Column, rejected: Column) -> Column:
     return F.when(first_other > 0, first_other - 1).otherwise(both.cast("long")).cast("int")
 
 
+def _turn(turn: str, role: str, text: str) -> Column:
+    return F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"),
+                    F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def gathered(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role",
+             text: str = "text") -> DataFrame:
+    """A row a conversation: its id and ``turns``, in order."""
+    one = _turn(turn, role, text)
+    return turns.where(F.col(conversation).isNotNull()).groupBy(conversation).agg(
+        F.sort_array(F.collect_list(one)).alias("turns"))
+
+
 def format_pairs(turns: DataFrame, pair: str = "pair_id", chosen: str = "chosen", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
-    """A row a pair: pair_id, prefix_turns, prompt, chosen, chosen_spans,
-    rejected, rejected_spans. ``turns`` has a row a turn, with the pair it
-    belongs to and whether its conversation is the chosen one."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("user")).alias("role"),
-                   F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """``format_sides`` of ``turns``: a row a turn, with the pair it belongs
+    to and whether its conversation is the chosen one."""
+    one = _turn(turn, role, text)
     sides = turns.where(F.col(pair).isNotNull()).groupBy(F.col(pair).alias("pair_id")).agg(
         F.sort_array(F.collect_list(F.when(F.col(chosen), one))).alias("c"),
         F.sort_array(F.collect_list(F.when(~F.col(chosen), one))).alias("r"))
-    met = sides.withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
+    return format_sides(sides, "pair_id", "c", "r")
+
+
+def format_sides(sides: DataFrame, pair: str = "pair_id", chosen: str = "chosen",
+                 rejected: str = "rejected") -> DataFrame:
+    """A row a pair: pair_id, prefix_turns, prompt, chosen, chosen_spans,
+    rejected, rejected_spans. ``sides`` has a row a pair with both arrays of
+    turns (turn, role, text), as ``gathered`` gives them; neither is NULL."""
+    met = sides.select(F.col(pair).alias("pair_id"), F.col(chosen).alias("c"), F.col(rejected).alias("r")) \
+        .withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
     n = F.col("prefix_turns")
 
     def head(a: str) -> Column:

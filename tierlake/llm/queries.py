@@ -71,12 +71,17 @@ def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, paired with its neighbour: the even id is the
-    chosen one of the pair, the next (odd) id the rejected one."""
-    turns = table(spark, sf_dir, "conversations").withColumns({
-        "pair_id": F.floor(F.col("conv_id") / 2).cast("long"),
-        "chosen": F.pmod("conv_id", F.lit(2)) == 0})
-    return preference.format_pairs(turns)
+    """Every conversation as the chosen one of a pair. The rejected one has
+    the same turns but the last, which is the last of the next conversation
+    (by id; none where that is missing)."""
+    whole = preference.gathered(table(spark, sf_dir, "conversations"))
+    # Never NULL, so that both sides of the join read one exchange.
+    before = F.coalesce(F.try_subtract("conv_id", F.lit(1)), F.lit(2**63 - 1))
+    other = whole.select(before.alias("conv_id"), F.slice("turns", -1, 1).alias("other"))
+    last = F.coalesce("other", F.slice("turns", 1, 0))
+    rejected = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), last)
+    pairs = whole.join(other, "conv_id", "left").select("conv_id", "turns", rejected.alias("rejected"))
+    return preference.format_sides(pairs, "conv_id", "turns", "rejected")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +197,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """,
     "op5_preference": r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(role, 'user') AS role,
-         coalesce(text, '') AS text,
+WITH w AS (
+  SELECT conv_id AS pair_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'),
-                            coalesce(text, '')) AS pos
+                            coalesce(text, '')) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS turns
   FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT pair_id, true AS chosen, role, text, pos FROM w
+  UNION ALL SELECT pair_id, false, role, text, pos FROM w WHERE pos < turns
+  UNION ALL SELECT a.pair_id, false, b.role, b.text, a.pos
+  FROM w a JOIN w b ON b.pair_id = a.pair_id + 1 WHERE a.pos = a.turns AND b.pos = b.turns),
 p AS (SELECT pair_id, max(pos) FILTER (chosen) AS nc, max(pos) FILTER (NOT chosen) AS nr FROM t GROUP BY pair_id),
 differ AS (
   SELECT a.pair_id, min(a.pos) AS pos
@@ -226,7 +236,7 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
          lambda w: w <> '')) AS BIGINT) AS size FROM documents),
 e AS (
-  SELECT source, doc_id, size, count(*) * size AS total,
+  SELECT source, doc_id, size, count(*) AS rows, count(*) * size AS total,
          md5('42:' || coalesce(doc_id::VARCHAR, '')) AS key FROM d GROUP BY source, doc_id, size),
 s AS (
   SELECT source, CAST(sum(total) AS BIGINT) AS source_size,
@@ -241,18 +251,30 @@ l AS (
 t AS (
   SELECT source, source_size,
          least(cap::DOUBLE, coalesce(max(level) FILTER (fill >= level) OVER () * weight, cap::DOUBLE)) AS target FROM l),
+m AS (
+  SELECT *, sum(total) OVER (PARTITION BY source ORDER BY key, doc_id, size) - total AS start,
+         (rows + 999) // 1000 AS step
+  FROM e WHERE total > 0),
+h AS (SELECT * REPLACE (least(step, rows - part * step) AS rows)
+      FROM (SELECT *, unnest(range((rows + step - 1) // step)) AS part FROM m)),
 q AS (
-  SELECT e.*, t.source_size, t.target,
-         sum(total) OVER (PARTITION BY e.source ORDER BY key, doc_id, size) AS cum
-  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source WHERE total > 0),
+  SELECT h.source, doc_id, size, key, rows, rows * size AS total, t.source_size, t.target,
+         start + size * (part * step + rows) AS cum
+  FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
 v AS (SELECT *, (cum + epoch * source_size) / target AS finish FROM q, (SELECT unnest([0, 1]) AS epoch) WHERE target > 0),
 c AS (
   SELECT *, sum(total) OVER (ORDER BY finish, source NULLS LAST, key, doc_id, size) AS upto FROM v),
+b AS (SELECT CAST(floor(sum(source_size) * 1.5) AS BIGINT) AS budget FROM t),
 k AS (
-  SELECT source, doc_id, size, count(*) AS copies FROM c
-  WHERE upto <= (SELECT floor(sum(source_size) * 1.5) FROM t) GROUP BY source, doc_id, size)
-SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(k.copies, 0) * d.size AS BIGINT) AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT source, doc_id, size,
+         CAST(sum(least(rows, greatest(budget - (upto - total), 0) // size)) AS BIGINT) AS fit
+  FROM c, b GROUP BY source, doc_id, size),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS i,
+         count(*) OVER (PARTITION BY source, doc_id, size) AS n FROM d)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST(coalesce(k.fit // n + CASE WHEN i <= k.fit % n THEN 1 ELSE 0 END, 0) * d.size AS BIGINT) AS taken
+FROM o AS d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 LEFT JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.size = d.size
 """,
     "op11_collocations": r"""
