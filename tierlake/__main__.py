@@ -27,8 +27,10 @@ from tierlake.sources import events as ev
 DIM_SOURCES = ("brands", "category", "products", "customers", "date")
 
 
-def run(spark: SparkSession, which: str, raw_dir: str, root: str, batch_id: str | None = None) -> str:
-    """Run the dimension or fact layers; returns the batch id."""
+def run(spark: SparkSession, which: str, raw_dir: str, root: str, batch_id: str | None = None,
+        retries: int = 0, resume: bool = False) -> str:
+    """Run the dimension or fact layers; returns the batch id. ``resume`` goes
+    on with ``batch_id`` where it stopped."""
     raw_dir, root = raw_dir.rstrip("/"), root.rstrip("/")
     batch_id = batch_id or str(uuid.uuid4())
     if which == "dims":
@@ -37,7 +39,7 @@ def run(spark: SparkSession, which: str, raw_dir: str, root: str, batch_id: str
         layers = fact_layers(spark, f"{raw_dir}/order_items/*.csv", root)
     else:
         raise ValueError(f"unknown pipeline {which!r}: use 'dims' or 'facts'")
-    run_layers(spark, layers, f"{root}/telemetry", batch_id)
+    run_layers(spark, layers, f"{root}/telemetry", batch_id, retries=retries, resume=resume)
     return batch_id
 
 
@@ -64,16 +66,21 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--raw", required=True)
     r.add_argument("--root", required=True)
     r.add_argument("--batch")
+    r.add_argument("--retries", type=int, default=0, help="further attempts of a failing stage")
+    r.add_argument("--resume", action="store_true", help="skip what --batch has finished already")
     d = sub.add_parser("diagnose")
     d.add_argument("--telemetry", required=True)
     d.add_argument("--top", type=int, default=None, help="show only the first N causes")
     args = p.parse_args(argv)
+    if args.cmd == "run" and args.resume and not args.batch:
+        p.error("--resume needs --batch")
     spark = SparkSession.builder.appName("tierlake").getOrCreate()
     if args.cmd == "run":
+        batch = args.batch or str(uuid.uuid4())
         try:
-            batch = run(spark, args.pipeline, args.raw, args.root, args.batch)
+            run(spark, args.pipeline, args.raw, args.root, batch, args.retries, args.resume)
         except Exception as exc:  # noqa: BLE001 - the failure is already in telemetry
-            print(f"run failed: {exc}", file=sys.stderr)
+            print(f"run failed (batch {batch}): {exc}", file=sys.stderr)
             return 1
         print(f"batch {batch} done; telemetry in {args.root.rstrip('/')}/telemetry")
         return 0

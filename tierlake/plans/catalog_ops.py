@@ -206,6 +206,53 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("stage_name", "pipeline_name", "status", "row_count")
 
 
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11 + M12: orders, customers and their mart as one batch. The silver
+    stage fails twice and works at its second retry; the mart lacks its
+    customers and fails for good. Resumed after that, the batch only runs the
+    mart, and a third time nothing. One row per attempt."""
+    root = scratch_path(spark, "resume")
+    telemetry, broken = f"{root}/telemetry", [2]
+
+    def silver():
+        orders = spark.read.parquet(f"{root}/bronze/orders")
+        if broken[0]:
+            broken[0] -= 1
+            return orders.select("o_no_such_column")
+        return dedupe(orders, ["o_orderkey"], order_by=[])
+
+    def mart(customers: str):
+        return lambda: spark.read.parquet(f"{root}/silver/orders").groupBy("o_custkey").agg(
+            F.count("*").alias("orders")).join(
+            spark.read.parquet(customers).select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+    def layers(customers: str) -> dict[str, list[StageSpec]]:
+        return {
+            "bronze": [StageSpec("bronze_orders", "bronze.orders", f"{root}/bronze/orders",
+                                 lambda: table(spark, sf_dir, "orders"), ["orders"],
+                                 Checks(stage="bronze")),
+                       StageSpec("bronze_customers", "bronze.customers", f"{root}/bronze/customers",
+                                 lambda: table(spark, sf_dir, "customer"), ["customer"],
+                                 Checks(stage="bronze"))],
+            "silver": [StageSpec("silver_orders", "silver.orders", f"{root}/silver/orders", silver,
+                                 ["bronze.orders"], Checks(keys=("o_orderkey",), stage="silver"))],
+            "gold": [StageSpec("gold_customers", "gold.customers", f"{root}/gold/customers",
+                               mart(customers), ["silver.orders", "bronze.customers"],
+                               Checks(keys=("o_custkey",), stage="gold"))],
+        }
+
+    batch_id = str(uuid.uuid4())
+    try:
+        run_layers(spark, layers(f"{root}/missing"), telemetry, batch_id, retries=2)
+    except AnalysisException as exc:  # the missing input is part of the scenario
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+    for _ in range(2):
+        run_layers(spark, layers(f"{root}/bronze/customers"), telemetry, batch_id, retries=2, resume=True)
+    ex = ev.read_events(spark, telemetry, "execution").where(F.col("batch_id") == batch_id)
+    return ex.select("stage_name", "pipeline_name", "status", "retry_count", "row_count")
+
+
 def dims_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11-M12 on the dimension pipeline: raw CSVs projected from nation,
     region, supplier, customer and orders go through bronze, silver and gold
@@ -464,6 +511,7 @@ QUERIES = {
     "schema_conform": schema_conform,
     "landing_ingest": landing_ingest,
     "run_status": run_status,
+    "resumed_run": resumed_run,
     "lineage_capture": lineage_capture,
     "validation_events": validation_events,
     "dims_run": dims_run,

@@ -84,6 +84,19 @@ ORACLE_OPS: dict[str, str] = {
         SELECT 'gold', 'gold_orders', 'SUCCESS', CAST(count(DISTINCT o_orderkey) AS BIGINT) FROM orders
         UNION ALL
         SELECT 'gold', 'gold_order_priority', 'FAILED', CAST(0 AS BIGINT)""",
+    "resumed_run": """
+        WITH gold AS (SELECT DISTINCT o_custkey FROM orders SEMI JOIN customer ON o_custkey = c_custkey),
+        r AS (
+          SELECT 'bronze' AS stage_name, 'bronze_orders' AS pipeline_name, 'SUCCESS' AS status,
+                 0 AS retry_count, count(*) AS row_count FROM orders
+          UNION ALL SELECT 'bronze', 'bronze_customers', 'SUCCESS', 0, count(*) FROM customer
+          UNION ALL SELECT 'silver', 'silver_orders', 'RETRYING', unnest([0, 1]), 0
+          UNION ALL SELECT 'silver', 'silver_orders', 'SUCCESS', 2, count(DISTINCT o_orderkey) FROM orders
+          UNION ALL SELECT 'gold', 'gold_customers', 'RETRYING', unnest([0, 1]), 0
+          UNION ALL SELECT 'gold', 'gold_customers', 'FAILED', 2, 0
+          UNION ALL SELECT 'gold', 'gold_customers', 'SUCCESS', 0, count(*) FROM gold)
+        SELECT stage_name, pipeline_name, status, CAST(retry_count AS INTEGER) AS retry_count,
+               CAST(row_count AS BIGINT) AS row_count FROM r""",
     "lineage_capture": """
         SELECT * FROM (VALUES
           ('bronze.orders', 'raw_to_bronze_load', 'raw/orders'),

@@ -21,6 +21,12 @@ and ``lineage`` are appended in that order, then the original exception is
 re-raised (a failing event write is attached as a note, never masking it).
 
 All events of a stage run go out in one append.
+
+A stage may be tried again (``retries``): an attempt that isn't the last
+leaves one ``execution`` event RETRYING with its error, and the final event
+carries the number of retries that were needed. ``run_layers(resume=True)``
+goes on with a batch from its telemetry: tables whose latest run in the batch
+succeeded after all they read are left as they are.
 """
 
 from __future__ import annotations
@@ -33,9 +39,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tierlake.operators import drift, quality, rules as rules_mod
+from tierlake.operators.incident import latest
 from tierlake.operators.quality import Checks
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import infer_schema, swap_into
@@ -80,8 +88,22 @@ def _tick(last: list[dt.datetime]) -> dt.datetime:
 
 
 def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_id: str,
-              stage_run_id: str) -> dict:
-    """Run one observed table load; returns {'status', 'row_count', 'findings'}."""
+              stage_run_id: str, retries: int = 0, wait_sec: float = 0.0) -> dict:
+    """Run one observed table load; returns {'status', 'row_count', 'findings'}.
+    After an error it is tried again up to ``retries`` times, with a pause of
+    ``wait_sec`` that doubles each time. Each attempt is an artifact of its
+    own, builds its DataFrame anew and swaps a finished table into place, so
+    a broken one leaves nothing behind in it."""
+    for attempt in range(retries):
+        try:
+            return _attempt(spark, spec, telemetry_root, batch_id, stage_run_id, attempt, last=False)
+        except Exception:  # noqa: BLE001 - recorded by the attempt
+            time.sleep(wait_sec * 2**attempt)
+    return _attempt(spark, spec, telemetry_root, batch_id, stage_run_id, retries, last=True)
+
+
+def _attempt(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_id: str,
+             stage_run_id: str, retry_count: int, last: bool) -> dict:
     stage = spec.checks.stage
     artifact_id = str(uuid.uuid4())
     ids = dict(batch_id=batch_id, stage_run_id=stage_run_id, artifact_id=artifact_id)
@@ -147,35 +169,68 @@ def run_stage(spark: SparkSession, spec: StageSpec, telemetry_root: str, batch_i
         out.append(ev.event("lineage", **ids, timestamp=_tick(ts), **lineage))
         out.append(ev.event("execution", **ids, timestamp=_tick(ts), **common, status="SUCCESS",
                             execution_time_sec=round(time.time() - t0, 2), row_count=rows,
-                            retry_count=0))
+                            retry_count=retry_count))
         ev.append_events(spark, telemetry_root, out)
         return {"status": "SUCCESS", "row_count": rows, "findings": [f.asDict() for f in found]}
     except Exception as exc:
-        fail = [
-            ev.event("anomaly", **ids, timestamp=_tick(ts), **common,
-                     anomaly_type="PIPELINE_FAILURE",
-                     details={"error": "".join(traceback.format_exception(exc))}),
-            ev.event("execution", **ids, timestamp=_tick(ts), **common, status="FAILED",
-                     execution_time_sec=round(time.time() - t0, 2), row_count=0, retry_count=0),
-            ev.event("lineage", **ids, timestamp=_tick(ts), **lineage),
-        ]
+        details = {"error": "".join(traceback.format_exception(exc))}
+        ended = dict(execution_time_sec=round(time.time() - t0, 2), row_count=0, retry_count=retry_count)
+        if last:
+            out += [
+                ev.event("anomaly", **ids, timestamp=_tick(ts), **common,
+                         anomaly_type="PIPELINE_FAILURE", details=details),
+                ev.event("execution", **ids, timestamp=_tick(ts), **common, status="FAILED", **ended),
+                ev.event("lineage", **ids, timestamp=_tick(ts), **lineage),
+            ]
+        else:  # what the attempt found is found again by the next one
+            out = [ev.event("execution", **ids, timestamp=_tick(ts), **common, status="RETRYING",
+                            details=details, **ended)]
         try:
-            ev.append_events(spark, telemetry_root, out + fail)
+            ev.append_events(spark, telemetry_root, out)
         except Exception as write_exc:  # noqa: BLE001
             exc.add_note(f"telemetry write failed too: {write_exc!r}")
         raise
 
 
+def table_states(events: DataFrame, batch_id: str) -> DataFrame:
+    """Per table that a batch ran: ``downstream_table``, ``status``,
+    ``timestamp`` and ``retry_count`` of its latest finished run (SUCCESS or
+    FAILED). Runs meet their lineage event by artifact."""
+    own = events.where(F.col("batch_id") == batch_id)
+    ran = own.where((F.col("event_type") == "execution") & F.col("status").isin("SUCCESS", "FAILED"))
+    made = own.where(F.col("event_type") == "lineage").select("artifact_id", "downstream_table").distinct()
+    states = ran.select("artifact_id", "status", "timestamp", "retry_count").join(made, "artifact_id")
+    return latest(states, by=["downstream_table"]).select(
+        "downstream_table", "status", "timestamp", "retry_count")
+
+
 def run_layers(spark: SparkSession, layers: dict[str, list[StageSpec]], telemetry_root: str,
-               batch_id: str | None = None) -> dict[str, str]:
+               batch_id: str | None = None, retries: int = 0, wait_sec: float = 0.0,
+               resume: bool = False) -> dict[str, str]:
     """Bronze, silver, gold in order; one stage_run_id per layer shared by its
-    tables; stops at the first failure (the exception propagates)."""
+    tables; stops at the first failure (the exception propagates).
+
+    ``resume`` goes on with ``batch_id``: a table is skipped if its latest run
+    in the batch succeeded, none of the tables it reads has run later, and
+    none is run again now. Skipped tables are neither read nor written and
+    leave no event; a layer without work gets no stage_run_id."""
+    if resume and not batch_id:
+        raise ValueError("resume needs the batch_id to go on with")
     batch_id = batch_id or str(uuid.uuid4())
+    specs = [spec for layer in layers.values() for spec in layer]
+    done: dict[str, dt.datetime] = {}
+    if resume:
+        states = table_states(ev.read_events(spark, telemetry_root), batch_id).where(
+            (F.col("status") == "SUCCESS") & F.col("downstream_table").isin([s.target for s in specs]))
+        done = {r.downstream_table: r.timestamp for r in states.collect()}  # <= one row per spec
+    targets = {spec.target for spec in specs}
     runs: dict[str, str] = {}
     for layer in ("bronze", "silver", "gold"):
-        if layer not in layers:
-            continue
-        runs[layer] = str(uuid.uuid4())
-        for spec in layers[layer]:
-            run_stage(spark, spec, telemetry_root, batch_id, runs[layer])
+        for spec in layers.get(layer, ()):
+            read = [t for t in spec.upstream if t in targets and t != spec.target]
+            if spec.target in done and all(t in done and done[t] <= done[spec.target] for t in read):
+                continue
+            done.pop(spec.target, None)  # what reads this table is stale from here on
+            runs.setdefault(layer, str(uuid.uuid4()))
+            run_stage(spark, spec, telemetry_root, batch_id, runs[layer], retries, wait_sec)
     return runs

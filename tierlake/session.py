@@ -12,14 +12,16 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared file system, so it is read from the
-    session. Only when the session has none (local tests) a fresh folder is
-    created and set as the checkpoint dir.
+    session. Only a local session without one (tests) gets a fresh folder of
+    this machine; on a cluster that would be a folder no executor sees, so
+    there a missing setting is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        # Only for sessions without one (local tests): the conf itself cannot
-        # change at run time, so set the context's checkpoint dir.
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # The conf itself cannot change at run time: set the context's dir.
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tierlake-ckpt-"))
         root = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
