@@ -66,7 +66,7 @@ LEAST_TEXTS, LEAST_DEVIATION, LEAST_RATIO = 3, 2.5, 12.0
 LONGEST_PIECE = 24
 WINDOW = 6
 THRESHOLDS = (4, 6, 8, 10, 12, 16, 20, 26)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 SYMBOL = 4  # bytes of a character
 SPACE = 0x20
@@ -92,9 +92,9 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.cumprod(np.full(n, k, np.uint64)) for k in (_STEP, _BACK))
+def _powers(n: int) -> np.ndarray:
+    """Powers of ``_BACK`` from 0 to n."""
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BACK, np.uint64))])
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,11 +115,13 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, white = code[kept].astype(np.uint64), white[kept]
     spaces = np.flatnonzero(white)
     n = len(code)
-    # Sums that start anew at each space: of code * STEP**-position, shifted.
-    up, down = _powers(1 << max(n - 1, 1).bit_length())
-    total = np.cumsum((code + np.uint64(1)) * down[:n])
+    # Sums of code * BACK**place that start anew at each space.
     last = np.maximum.accumulate(np.where(white, np.arange(n), 0))
-    h = (total - total[last]) * up[last]
+    place = np.arange(n) - last
+    code += np.uint64(1)
+    code *= _powers(int(place.max(initial=0)))[place]
+    h = np.cumsum(code)
+    h -= h[last]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
