@@ -88,3 +88,41 @@ def test_rules_property(spark, rows):
     want = {k: (c, "FAILED" if (c > 0 if k != "nr" else n > 0 and c / n > 0.25) else "PASSED")
             for k, c in counts.items()}
     assert got == want
+
+
+def test_nested_drift(spark):
+    parse = StructType.fromDDL
+    old = parse("a struct<x:int, y:struct<z:string>, gone:struct<k:int, l:int>>, b array<struct<p:float>>, "
+                "m map<string,int>, same array<int>, kind array<struct<q:int>>, `odd.name` int")
+    new = parse("a struct<x:bigint, y:struct<z:string, w:date>>, b array<struct<p:double>>, m map<string,bigint>, "
+                "same array<int>, kind string, `odd.name` bigint, extra struct<e:int>")
+    got = drift.nested_drift(drift.path_frame(spark, {"t": old, "u": old}), drift.path_frame(spark, {"t": new, "u": old}))
+    assert sorted((r.table_name, r.column_name, r.change, r.expected_type, r.actual_type) for r in got.collect()) == [
+        ("t", "`odd.name`", "type_change", "int", "bigint"), ("t", "a.gone", "missing", "struct", None),
+        ("t", "a.x", "type_change", "int", "bigint"), ("t", "a.y.w", "extra", None, "date"),
+        ("t", "b[].p", "type_change", "float", "double"), ("t", "extra", "extra", None, "struct"),
+        ("t", "kind", "type_change", "array", "string"), ("t", "m{}", "type_change", "int", "bigint")]
+    empty = drift.path_frame(spark, {})
+    assert drift.nested_drift(empty, empty).count() == 0
+    assert {r.change for r in drift.nested_drift(drift.path_frame(spark, {"t": new}), empty).collect()} == {"missing"}
+
+
+def test_conform_inside_columns(spark, ansi):
+    df = spark.createDataFrame(
+        [(("7", "x"), [("1.5", 1), None], {1: "3"}), (None, None, None), (("bad", None), [], {2: "no", 3: None})],
+        "s struct<n:string, more:string>, a array<struct<v:string, w:int>>, m map<int,string>")
+    contract = StructType.fromDDL("s struct<new:date, n:int>, a array<struct<w:bigint, v:double>>, m map<bigint,int>")
+    out = drift.conform(df, contract, drift.EvolutionRules(allow_new_columns=False))
+    assert [f.dataType.simpleString() for f in out.schema] == [f.dataType.simpleString() for f in contract]
+    got = [r.asDict(recursive=True) for r in out.collect()]
+    assert got == [
+        {"s": {"new": None, "n": 7}, "a": [{"w": 1, "v": 1.5}, None], "m": {1: 3}},
+        {"s": None, "a": None, "m": None},
+        {"s": {"new": None, "n": None}, "a": [], "m": {2: None, 3: None}}]
+    kept = drift.conform(df, contract)
+    assert kept.schema["s"].dataType.fieldNames() == ["new", "n", "more"]
+    for bad in ("s string, a int, m map<bigint,int>", "s struct<n:int>, a array<struct<v:int>>, m map<date,string>"):
+        with pytest.raises(drift.SchemaContractError):
+            drift.conform(df, StructType.fromDDL(bad))
+    with pytest.raises(drift.SchemaContractError):
+        drift.conform(df, contract, drift.EvolutionRules(strict_mode=True))

@@ -4,16 +4,22 @@
                       schemas (column count is small: done on the driver)
 * ``catalog_drift``   the same over many tables at once, as a DataFrame join
                       of two (table, column, type) frames
-* ``conform``         apply a schema contract with evolution rules
+* ``nested_drift``    the same for what columns hold: fields of structs,
+                      elements of arrays, keys and values of maps
+* ``conform``         apply a schema contract with evolution rules, also
+                      inside structs, arrays and maps
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, NumericType, StringType, StructType
+from pyspark.sql.types import (ArrayType, DataType, IntegralType, MapType, NumericType, StringType,
+                               StructType)
 
 DIFF_SCHEMA = ("column_name string, change string, expected_type string, "
                "actual_type string, compatible boolean")
@@ -80,6 +86,49 @@ def catalog_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.withColumn("change", change).where(F.col("change").isNotNull())
 
 
+def _path_name(name: str) -> str:
+    return name if re.fullmatch(r"\w+", name) else "`" + name.replace("`", "``") + "`"
+
+
+def schema_paths(t: DataType, path: str | None = None, parent: str | None = None) -> Iterator[tuple]:
+    """(path, parent path, type) of every column and of what it holds:
+    ``a.b`` is a field of a struct, ``a[]`` the element of an array, ``a{key}``
+    and ``a{}`` the key and the value of a map. A container's type is only its
+    kind, so a change inside it shows at its own path. Names that aren't plain
+    words stand in backticks."""
+    held: dict[str, DataType] = {}
+    kind = type_name(t)
+    if isinstance(t, StructType):
+        kind = "struct"
+        held = {f"{path}.{_path_name(f.name)}" if path else _path_name(f.name): f.dataType for f in t.fields}
+    elif isinstance(t, ArrayType):
+        kind, held = "array", {f"{path}[]": t.elementType}
+    elif isinstance(t, MapType):
+        kind, held = "map", {f"{path}{{key}}": t.keyType, f"{path}{{}}": t.valueType}
+    if path:
+        yield path, parent, kind
+    for name, inner in held.items():
+        yield from schema_paths(inner, name, path)
+
+
+def path_frame(spark: SparkSession, schemas: dict[str, StructType]) -> DataFrame:
+    """(table_name, column_name, parent, data_type): a row for each path."""
+    rows = [(t, *one) for t, s in schemas.items() for one in schema_paths(s)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, parent string, data_type string")
+
+
+def nested_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Drift of many tables at every path: ``catalog_drift`` of two
+    ``path_frame``s. What lies below a path that drifted itself (a missing
+    struct, an array that became a text) isn't reported again."""
+    found = catalog_drift(expected, actual)
+    parents = expected.select("table_name", "column_name", "parent").unionByName(
+        actual.select("table_name", "column_name", "parent")).distinct()
+    drifted = found.select("table_name", F.col("column_name").alias("parent"))
+    below = parents.join(drifted, ["table_name", "parent"], "left_semi").select("table_name", "column_name")
+    return found.join(below, ["table_name", "column_name"], "left_anti")
+
+
 @dataclass(frozen=True)
 class EvolutionRules:
     allow_new_columns: bool = True
@@ -106,6 +155,48 @@ def _lenient_cast(col, src: DataType, dst: DataType):
     return col.try_cast(dst)
 
 
+def _fit(col: Column, src: DataType, dst: DataType, rules: EvolutionRules, path: str) -> Column:
+    """``col`` as ``dst``: structs by the names of their fields, arrays and
+    maps by what they hold, other types by a lenient cast."""
+    if type_name(src) == type_name(dst):
+        return col
+    if isinstance(src, StructType) and isinstance(dst, StructType):
+        fields = _fit_fields(src, dst, rules, col.getField, f"{path}.")
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(src, ArrayType) and isinstance(dst, ArrayType):
+        return F.transform(col, lambda x: _fit(x, src.elementType, dst.elementType, rules, f"{path}[]"))
+    if isinstance(src, MapType) and isinstance(dst, MapType) and (
+            type_name(src.keyType) == type_name(dst.keyType)
+            or rules.auto_cast_types and can_widen(src.keyType, dst.keyType)):
+        if type_name(src.keyType) != type_name(dst.keyType):
+            col = F.transform_keys(col, lambda k, _: k.cast(dst.keyType))
+        return F.transform_values(col, lambda _, v: _fit(v, src.valueType, dst.valueType, rules, f"{path}{{}}"))
+    if not rules.auto_cast_types:
+        if rules.strict_mode:
+            raise SchemaContractError(f"column {path}: {type_name(src)} is not {type_name(dst)}")
+        return col
+    containers = (StructType, ArrayType, MapType)
+    if isinstance(dst, containers) or isinstance(src, containers) and not isinstance(dst, StringType):
+        raise SchemaContractError(f"column {path}: {type_name(src)} can't become {type_name(dst)}")
+    return _lenient_cast(col, src, dst)
+
+
+def _fit_fields(have: StructType, want: StructType, rules: EvolutionRules,
+                get: Callable[[str], Column], path: str = "") -> list[Column]:
+    """The fields of ``want`` from those of ``have``, in order."""
+    types = {f.name: f.dataType for f in have.fields}
+    names = set(want.fieldNames())
+    missing = [path + n for n in want.fieldNames() if n not in types]
+    extra = [n for n in types if n not in names]
+    if missing and (rules.strict_mode or not rules.allow_missing_columns):
+        raise SchemaContractError(f"missing columns: {missing}")
+    if extra and rules.strict_mode and not rules.allow_new_columns:
+        raise SchemaContractError(f"unexpected columns: {[path + n for n in extra]}")
+    cols = [_fit(get(f.name), types[f.name], f.dataType, rules, path + f.name).alias(f.name) if f.name in types
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in want.fields]
+    return cols + [get(n).alias(n) for n in extra if rules.allow_new_columns]
+
+
 def conform(df: DataFrame, contract: StructType, rules: EvolutionRules = EvolutionRules()) -> DataFrame:
     """Select the contract's columns by name, in contract order.
 
@@ -113,28 +204,10 @@ def conform(df: DataFrame, contract: StructType, rules: EvolutionRules = Evoluti
     allowed); mismatched type: lenient cast when ``auto_cast_types`` (error
     when strict without it); extra columns: kept after the contract columns
     when allowed, else dropped (error when strict).
+
+    The same holds inside structs (fields by name, a NULL struct stays NULL),
+    for the elements of arrays and the values of maps. Keys of maps are only
+    widened, so no two of them become one. A container that the contract has
+    as another kind is an error, except as text.
     """
-    have = {f.name: f.dataType for f in df.schema.fields}
-    want = [f.name for f in contract.fields]
-    missing = [n for n in want if n not in have]
-    extra = [n for n in have if n not in want]
-    if missing and (rules.strict_mode or not rules.allow_missing_columns):
-        raise SchemaContractError(f"missing columns: {missing}")
-    if extra and rules.strict_mode and not rules.allow_new_columns:
-        raise SchemaContractError(f"unexpected columns: {extra}")
-    cols = []
-    for f in contract.fields:
-        if f.name not in have:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif have[f.name] == f.dataType:
-            cols.append(F.col(f.name))
-        elif rules.auto_cast_types:
-            cols.append(_lenient_cast(F.col(f.name), have[f.name], f.dataType).alias(f.name))
-        elif rules.strict_mode:
-            raise SchemaContractError(
-                f"column {f.name}: {type_name(have[f.name])} is not {type_name(f.dataType)}")
-        else:
-            cols.append(F.col(f.name))
-    if rules.allow_new_columns:
-        cols += [F.col(n) for n in extra]
-    return df.select(*cols)
+    return df.select(*_fit_fields(df.schema, contract, rules, lambda n: F.col(f"`{n.replace('`', '``')}`")))

@@ -1,5 +1,5 @@
 """Queries for rules kept as data, loads that lose no row, keys across loads,
-types counted by the load, and join audits."""
+types counted by the load, join audits, nested schemas and kept incidents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from tierlake.operators import drift
 from tierlake.operators.join_audit import join_profile
 from tierlake.operators.rule_table import validate_table
 from tierlake.plans import catalog_dims as D
@@ -18,6 +19,7 @@ from tierlake.session import scratch_path
 from tierlake.sources import events as ev
 from tierlake.sources.lattice import load_observed
 from tierlake.sources.rescue import REASON, good_rows, load_rescued
+from tierlake.streaming.incidents import current_incidents, keep_incidents
 from tierlake.streaming.keystate import KeyState
 from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
 
@@ -173,4 +175,77 @@ def join_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (rules_table, rescued_rows, landing_duplicates, landed_types, join_audit)}
+# --------------------------------------------------------------------------
+# Nested schemas
+# --------------------------------------------------------------------------
+
+EVERY_TABLE = [*LANDED, "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def catalog_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 over the catalog: every given table lands as JSON lines, its row in
+    a struct; the schemas that all lines have against the declared ones."""
+    declared, found = {}, {}
+    for name in EVERY_TABLE:
+        nested = table(spark, sf_dir, name).select(F.struct("*").alias("record"))
+        path = scratch_path(spark, f"json_{name}")
+        nested.write.json(path)
+        declared[name], found[name] = nested.schema, spark.read.json(path).schema
+    return drift.nested_drift(drift.path_frame(spark, declared), drift.path_frame(spark, found)).select(
+        "table_name", "column_name", "change", "expected_type", "actual_type")
+
+
+ITEM_CONTRACT = (
+    "item struct<orderkey: bigint, linenumber: int, note: string>, "
+    "measures array<struct<amount: double, unit: string, name: string>>, rates map<string, decimal(10,4)>")
+
+
+def nested_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4 inside columns: line items as structs, arrays and maps of texts,
+    some damaged, conformed to a contract of other types, order and fields."""
+    li = table(spark, sf_dir, "lineitem")
+    odd = F.col("l_orderkey") % 10 == 0
+    item = F.struct(F.col("l_linenumber").cast("string").alias("linenumber"),
+                    F.col("l_orderkey").cast("string").alias("orderkey"), F.lit("x").alias("extra"))
+
+    def measure(name, value):
+        text = F.when(odd, "n/a").otherwise(F.col(value).cast("string"))
+        return F.struct(F.lit(name).alias("name"), text.alias("amount"))
+
+    raw = li.select(F.when(F.col("l_linenumber") != 3, item).alias("item"),
+                    F.array(measure("quantity", "l_quantity"), measure("price", "l_extendedprice")).alias("measures"),
+                    F.create_map(F.lit("tax"), F.col("l_tax"), F.lit("discount"), F.col("l_discount")).alias("rates"))
+    done = drift.conform(raw, StructType.fromDDL(ITEM_CONTRACT), drift.EvolutionRules(allow_new_columns=False))
+    return done.select("item.orderkey", "item.linenumber", "item.note", F.col("measures")[0]["name"].alias("first"),
+                       F.col("measures")[0]["amount"].alias("quantity"), F.col("measures")[1]["amount"].alias("price"),
+                       F.col("measures")[1]["unit"].alias("unit"),
+                       (F.col("rates")["tax"] * 10000).cast("bigint").alias("tax_bp"),
+                       (F.col("rates")["discount"] * 10000).cast("bigint").alias("discount_bp"))
+
+
+# --------------------------------------------------------------------------
+# Incidents kept up to date
+# --------------------------------------------------------------------------
+
+def incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 per user as events arrive: 'error' events as failures and 'signup'
+    events as anomalies come in four drops, in no order of time."""
+    root = scratch_path(spark, "incident_stream")
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
+    failed = F.col("event_type") == "error"
+    rows = e.select(F.col("user_id").cast("string").alias("batch_id"),
+                    F.lpad(F.col("event_id").cast("string"), 20, "0").alias("artifact_id"),
+                    F.col("ts").cast("timestamp").alias("timestamp"), F.when(failed, "FAILED").alias("status"),
+                    F.when(failed, "execution").otherwise("anomaly").alias("event_type"))
+    for drop in range(4):
+        ev.write_events(rows.where(F.pmod(F.crc32(F.col("artifact_id").cast("binary")), F.lit(4)) == drop),
+                        f"{root}/telemetry")
+        keep_incidents(spark, f"{root}/telemetry", f"{root}/incidents", f"{root}/ckpt")
+    found = current_incidents(spark, f"{root}/incidents")
+    return found.select(F.col("batch_id").cast("bigint").alias("user_id"), "incident_type",
+                        F.col("timestamp").cast("timestamp_ntz").alias("ts"),
+                        F.col("artifact_id").cast("bigint").alias("event_id"))
+
+
+QUERIES = {f.__name__: f for f in (rules_table, rescued_rows, landing_duplicates, landed_types, join_audit,
+                                   catalog_drift, nested_conform, incident_stream)}

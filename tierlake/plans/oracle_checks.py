@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tierlake.plans.oracle import RAW_ORDER_ITEMS
+from tierlake.plans.oracle_ops import ORACLE_OPS
 from tierlake.plans.oracle_dims import (RAW_BRANDS_FROM_NATION, RAW_CATEGORY_FROM_REGION,
                                         RAW_PRODUCTS_FROM_SUPPLIER, SILVER_BRANDS, SILVER_CATEGORY)
 
@@ -129,4 +130,25 @@ WITH {RAW_BRANDS_FROM_NATION}, {RAW_CATEGORY_FROM_REGION}, {RAW_PRODUCTS_FROM_SU
         _audit("customer_orders", "customer", "orders", "c_custkey", "o_custkey"),
         _audit("part_lineitem", "part", "lineitem", "p_partkey", "l_partkey"),
     ]),
+    "catalog_drift": """
+SELECT table_name, CASE data_type WHEN 'FLOAT[]' THEN 'record.' || column_name || '[]'
+                                  ELSE 'record.' || column_name END AS column_name,
+       'type_change' AS change,
+       CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'float' ELSE 'timestamp_ntz' END AS expected_type,
+       CASE data_type WHEN 'INTEGER' THEN 'bigint' WHEN 'FLOAT[]' THEN 'double' ELSE 'string' END AS actual_type
+FROM duckdb_columns() WHERE data_type IN ('INTEGER', 'FLOAT[]', 'TIMESTAMP') AND table_name IN (
+  'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings',
+  'pages', 'benchmark', 'labels', 'conversations')
+""",
+    "nested_conform": """
+SELECT CASE WHEN l_linenumber <> 3 THEN l_orderkey END AS orderkey,
+       CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS linenumber,
+       CAST(NULL AS VARCHAR) AS note, 'quantity' AS first,
+       CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END AS quantity,
+       CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_extendedprice END AS price,
+       CAST(NULL AS VARCHAR) AS unit, CAST(CAST(l_tax AS DECIMAL(10,4)) * 10000 AS BIGINT) AS tax_bp,
+       CAST(CAST(l_discount AS DECIMAL(10,4)) * 10000 AS BIGINT) AS discount_bp
+FROM lineitem
+""",
+    "incident_stream": ORACLE_OPS["incident_choice"],
 }

@@ -87,7 +87,7 @@ def append_events(spark: SparkSession, root: str, events: list[dict]) -> None:
         write_events(events_frame(spark, events).coalesce(1), root)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Through the cluster's file system (a bare path means the default FS)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -130,7 +130,7 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None) -> Data
     """Events of one kind (or all). A missing folder gives an empty frame.
     Lines that are no whole event are left out: ``unreadable_events`` has
     exactly those."""
-    if not _exists(spark, root):
+    if not exists(spark, root):
         return spark.createDataFrame([], StructType(EVENT_FIELDS + [StructField("event_type", _S)]))
     lines = _event_lines(spark, root)
     if kind is not None:
@@ -139,11 +139,21 @@ def read_events(spark: SparkSession, root: str, kind: str | None = None) -> Data
             .select(*[F.col(f"_e.{n}").alias(n) for n in FIELD_NAMES], "event_type"))
 
 
+def stream_events(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """``read_events`` as a file stream: each event once, as its file
+    arrives. The folder must hold events when the stream starts."""
+    reader = spark.readStream.schema("value string, event_type string")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return (_parse(reader.text(root)).where(_good())
+            .select(*[F.col(f"_e.{n}").alias(n) for n in FIELD_NAMES], "event_type"))
+
+
 def unreadable_events(spark: SparkSession, root: str) -> DataFrame:
     """Lines of the event folder that ``read_events`` leaves out, with their
     file and the reason (``not JSON``, ``no timestamp``, ``bad value``).
     Readable and unreadable lines together are all lines but blank ones."""
-    if not _exists(spark, root):
+    if not exists(spark, root):
         return spark.createDataFrame([], "file_path string, line string, reason string")
     return (_parse(_event_lines(spark, root)).where(~_good())
             .select("file_path", F.col("value").alias("line"), _reason().alias("reason")))
@@ -188,7 +198,7 @@ def _legacy_files(spark: SparkSession, base: str) -> DataFrame | None:
     out = None
     for kind, folder in LEGACY_FOLDERS.items():
         path = f"{base.rstrip('/')}/{folder}"
-        if _exists(spark, path):
+        if exists(spark, path):
             files = spark.read.text(path, wholetext=True).select(
                 "value", F.col("_metadata.file_path").alias("file_path"),
                 F.lit(kind).alias("event_type"))
