@@ -119,6 +119,11 @@ def test_odd_rows(spark, odd_documents, no_documents):
         assert np.frombuffer(r.ids, "<u4").tolist() == TIKTOKEN.encode_ordinary(r.text or "")
     assert token_count.count_tokens(no_documents, PIECES).count() == 0
     assert bpe.decode(bpe.encode(no_documents, RANKS), RANKS).count() == 0
+    once = bpe.round_trip(odd_documents, RANKS)
+    assert once.columns == [c for c in bpe.decode(bpe.encode(odd_documents, RANKS), RANKS).columns if c != "text"]
+    assert sorted(map(str, once.collect())) == sorted(
+        map(str, bpe.decode(bpe.encode(odd_documents, RANKS), RANKS).drop("text").collect()))
+    assert bpe.round_trip(no_documents, RANKS).count() == 0
 
 
 def test_op1_query(spark):

@@ -268,3 +268,22 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids")
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that each row of ids stands for."""
     return _with_binary(df, ids, decoded, read_vocabulary(ranks_path), decode_column)
+
+
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` without the texts, in one pass: a task has one
+    Python worker with one set of tables instead of two. The bytes come from
+    the encoded ids alone."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(ranks_path))
+
+    def make():
+        merges = merges_of(vocabulary.value)
+
+        def both(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = encode_column(batch.column(text), merges)
+            return [found, decode_column(found, merges)]
+
+        return both
+
+    return add_columns(df, [StructField(ids, BinaryType()), StructField(decoded, BinaryType())], make, drop=[text])

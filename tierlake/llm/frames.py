@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +42,16 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def add_columns(df: DataFrame, new: list[StructField],
-                make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """``df`` with columns that ``make()`` computes from each Arrow batch.
+                make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+                drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` with columns that ``make()`` computes from each Arrow batch, and
+    without the columns of ``drop``.
 
     ``make`` runs once in each task and returns the function for its batches.
     A batch is worked on in slices of about ``PART_BYTES``, so a task holds the
     results of one slice. Existing columns named like a new one are replaced.
     """
-    names = {f.name for f in new}
+    names = {*drop, *(f.name for f in new)}
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = StructType([*kept, *new])
     small_batches(df.sparkSession)
