@@ -198,3 +198,27 @@ def test_token_files_of_odd_rows(spark, odd_documents, no_documents, monkeypatch
     folder = scratch_path(spark, "no-files")
     assert packing.write_tokens(no_documents, JSON, folder, 2).count() == 0
     assert packing.read_tokens(spark, folder).count() == 0
+
+
+def test_token_files_of_hot_ids(spark, monkeypatch):
+    """A third of all rows without an id, a third with one id (most of them of
+    one text): every shard stays small, and ids ascend over the shards."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 5)
+    big = (1 << 63) - 1
+    rows = [(None, f"text {i % 40}") for i in range(90)]
+    rows += [(7, "one text" if i % 3 else f"other {i}") for i in range(90)]
+    rows += [(i, "own text") for i in range(-40, 40)] + [(big, f"last {i}") for i in range(30)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = scratch_path(spark, "hot-files")
+    table = packing.write_tokens(docs, JSON, folder, 2).collect()
+    assert max(r.documents for r in table) <= 30 and sum(r.documents for r in table) == len(rows)
+    got = packing.read_tokens(spark, folder).withColumn("c", F.crc32("ids")).orderBy("start").collect()
+    want = expected_files(rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.c) for r in got) == sorted(
+        (i is not None, i or 0, n, c) for i, _, n, c in want)
+    assert [r.doc_id for r in got] == [i for i, *_ in want]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    again = scratch_path(spark, "hot-files")
+    packing.write_tokens(docs.repartition(5), JSON, again, 2)
+    same = packing.read_tokens(spark, again).withColumn("c", F.crc32("ids")).orderBy("start").collect()
+    assert [tuple(r) for r in same] == [tuple(r) for r in got]

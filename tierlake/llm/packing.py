@@ -20,14 +20,17 @@ blocks. Texts that hold one of the tokenizer's added tokens are encoded whole.
 
 Documents are dealt into shards by ranges of the id (bounds from approximate
 quantiles of the id column alone), so shard k's ids all precede shard k+1's;
-the shuffle moves packed ids. A task writes its shards block by block under a
+the shuffle moves packed ids. An id (or NULL) with more documents than two
+shards hold is cut further by ranges of a hash of the text, and equal texts of
+one such id into parts, so no shard grows with the rows of one id. A task writes its shards block by block under a
 temporary name and renames them when whole, so a repeated task replaces its
 own files. Shard totals (a row a shard) are summed on the driver into global
 positions, stored as a table beside the shards. Files are reached through
 Arrow's file systems by the URI of the folder, which must be shared.
 
 Defined results: a NULL or empty text is a document of the end id alone; rows
-with a NULL id come first; repeated ids are ordered by their ids (tokens);
+with a NULL id come first; documents of one id are ordered by their ids
+(tokens), after the hash of the text where the id fills more than two shards;
 an empty table gives no shards and an empty result; extra columns aren't
 stored.
 """
@@ -259,6 +262,55 @@ class ShardReader:
 # Spark
 # --------------------------------------------------------------------------
 
+class HotIds:
+    """Where the documents of ids with many documents go: each such id has
+    bounds of the text's hash, and each piece between two bounds a number of
+    parts among which its (then equal) texts are dealt in turn."""
+
+    def __init__(self, rows: DataFrame):
+        """``rows``: doc_id, h. Collects a number an id or text with more than
+        two shards' documents, so fewer than there are shards."""
+        count = F.count(F.lit(1)).alias("n")
+        most = 2 * SHARD_DOCS
+        totals = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(count).where(F.col("n") > most).collect()}
+        equal: dict[int | None, dict[int, int]] = {i: {} for i in totals}
+        if totals:
+            for r in rows.groupBy("doc_id", "h").agg(count).where(F.col("n") > most).collect():
+                equal[r.doc_id][r.h] = r.n
+        self.pieces = {i: self._cut(n, equal[i]) for i, n in totals.items()}
+        self.ids = np.array(sorted(i for i in totals if i is not None), np.int64)
+
+    @staticmethod
+    def _cut(n: int, equal: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        ranges = max(1, -(-(n - sum(equal.values())) // SHARD_DOCS))
+        at = {-(1 << 63) + (k << 64) // ranges for k in range(1, ranges)}
+        at |= {x for h in equal for x in (h, h + 1) if -(1 << 63) < x < 1 << 63}
+        cuts = np.array(sorted(at), np.int64)
+        parts = np.ones(len(cuts) + 1, np.int64)
+        for h, rows in equal.items():
+            parts[np.searchsorted(cuts, h, side="right")] = -(-rows // SHARD_DOCS)
+        return cuts, parts
+
+    def bounds(self) -> np.ndarray:
+        """Bounds that leave each hot id alone in its range."""
+        return np.concatenate([self.ids, self.ids[self.ids < (1 << 63) - 1] + 1])
+
+    def place(self, names: pa.Array, h: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and part of each document, 0 for ids that aren't hot."""
+        piece, part = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
+        missing = np.asarray(names.is_null())
+        ids = pc.fill_null(names, 0).to_numpy()
+        hot = np.isin(ids, self.ids) & ~missing
+        chosen = [(i, np.flatnonzero(hot & (ids == i))) for i in np.unique(ids[hot]).tolist()]
+        if None in self.pieces:
+            chosen.append((None, np.flatnonzero(missing)))
+        for i, where in chosen:
+            cuts, parts = self.pieces[i]
+            piece[where] = np.searchsorted(cuts, h[where], side="right")
+            part[where] = turn[where] % parts[piece[where]]
+        return piece, part
+
+
 def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int, text: str = "text",
                  doc_id: str = "doc_id") -> DataFrame:
     """Encode ``df`` into shards under ``folder`` (new or empty) and store
@@ -274,47 +326,54 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int, t
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                     F.xxhash64(F.col(text)).alias("h"))
     shards = min(max(1, -(-rows.count() // SHARD_DOCS)), MOST_SHARDS)
     cuts = rows.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards) \
         if shards > 1 else []
-    bounds = np.unique(np.array(cuts, np.int64))
+    hot = HotIds(rows)
+    bounds = np.unique(np.append(np.array([min(int(c), (1 << 63) - 1) for c in cuts], np.int64), hot.bounds()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer.value)
+        turn = 0
         for batch in batches:
             lo = 0
             for ids, ends in encoder.encode(batch.column("text")):
                 ids, ends = with_end(ids, ends, end_id)
                 n = len(ends) - 1
                 names = batch.column("doc_id").slice(lo, n)
-                lo += n
+                piece, part = hot.place(names, batch.column("h").slice(lo, n).to_numpy(), turn + np.arange(n))
+                lo, turn = lo + n, turn + n
                 shard = np.searchsorted(bounds, pc.fill_null(names, 0).to_numpy(), side="right") + 1
                 shard[np.asarray(names.is_null())] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(shard.astype(np.int32)), pa.array(np.diff(ends).astype(np.int64)),
-                     packed_rows(ids, ends, bits)],
-                    names=["doc_id", "shard", "n", "packed"])
+                    [names, pa.array(shard.astype(np.int32)), pa.array(piece), pa.array(part),
+                     pa.array(np.diff(ends).astype(np.int64)), packed_rows(ids, ends, bits)],
+                    names=["doc_id", "shard", "piece", "part", "n", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, current, done = None, None, []
         for batch in batches:
-            for name, shard, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, *shard, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != current:
                     if writer:
-                        done.append((current, *writer.close()))
-                    writer, current = ShardWriter(folder, f"shard-{shard:06d}.ids", bits), shard
+                        done.append((*current, *writer.close()))
+                    file_name = f"shard-{'-'.join(f'{x:06d}' for x in shard)}.ids"
+                    writer, current = ShardWriter(folder, file_name, bits), shard
                 writer.add(name, unpack(data, bits, n).astype(np.int32))
         if writer:
-            done.append((current, *writer.close()))
-        columns = list(zip(*done, strict=True)) or [[], [], [], []]
+            done.append((*current, *writer.close()))
+        columns = list(zip(*done, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)],
-            names=["number", "shard", "documents", "ids"])
-
-    encoded = rows.mapInArrow(encode, "doc_id long, shard int, n long, packed binary")
-    dealt = encoded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "packed")
-    written = sorted(dealt.mapInArrow(write, "number int, shard string, documents long, ids long").collect())
+            [pa.array(c, t) for c, t in zip(columns, [*[pa.int32()] * 3, pa.string(), *[pa.int64()] * 2], strict=True)],
+            names=["number", "piece", "part", "shard", "documents", "ids"])
+
+    key = ["shard", "piece", "part"]
+    encoded = rows.mapInArrow(encode, "doc_id long, shard int, piece int, part int, n long, packed binary")
+    dealt = encoded.repartition(*key).sortWithinPartitions(*key, F.col("doc_id").asc_nulls_first(), "packed")
+    written = sorted(dealt.mapInArrow(
+        write, "number int, piece int, part int, shard string, documents long, ids long").collect())
     first, table = 0, []
     for row in written:  # a row a shard
         table.append((row.shard, row.documents, row.ids, first))
