@@ -20,7 +20,7 @@ from tierlake.plans import catalog_checks
 from tierlake.session import scratch_path
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import infer_schema
-from tierlake.sources.lattice import load_observed, schema_of, type_of
+from tierlake.sources.lattice import BITS, DIGITS, cell_marks, load_observed, schema_of, type_of
 from tierlake.sources.rescue import good_rows, load_rescued, read_csv_rescued
 from tierlake.streaming.keystate import KeyState
 from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
@@ -232,6 +232,26 @@ def test_counted_types_of_odd_texts(spark):
     assert got["big"].dataType == DecimalType(20, 0) and got["time"].dataType == TimestampType()
 
 
+def test_marks_equal_the_casts(spark, ansi):
+    """A cell's marks are what trying every cast would find."""
+    texts = ["0", "-0", "+7", "007", "2147483647", "2147483648", "-2147483648", "0002147483648", "9223372036854775807",
+             "9223372036854775808", "-9223372036854775808", "1" * 40, "1.", ".5", ".", "1e5", "1e", "1d", "2F", " 3 ", "NaN", "nan",
+             "-Inf", "infinity", "0x1p3", "Indigo", "2024", "2024-01-01", "2024-13-01", "2024-1-1", "2024-01-01T10:00:00.000Z",
+             "T10:00", "10:00", "true", "TRUE", "tru", "+", "a", "1\u2028"]
+    got = spark.createDataFrame([(t,) for t in ["", None, *texts]], "t string").select("t", cell_marks(F.col("t")).alias("m"), *[
+        F.col("t").try_cast(k).isNotNull().alias(k) for k in ("int", "bigint", "double", "date", "timestamp")]).collect()
+    for r in got:
+        if not r.t:
+            assert r.m is None
+            continue
+        whole = re.fullmatch(r"[+-]?[0-9]+", r.t) is not None
+        want = {"texts": True, "wholes": whole, "ints": whole and r.int, "longs": whole and r.bigint, "doubles": r.double,
+                "dates": re.fullmatch(r"\d{4}-\d\d-\d\d", r.t) is not None and r.date, "times": r.timestamp,
+                "truths": r.t.lower() in ("true", "false")}
+        assert {k: bool(r.m & b) for k, b in BITS.items()} == want, r
+        assert r.m // DIGITS == (len(r.t.lstrip("+-").lstrip("0")) if whole else 0)
+
+
 def test_observed_load_conforms_and_reads_once(spark):
     root = scratch_path(spark, "t_types3")
     spark.createDataFrame([("7", "x", "q"), ("8.5", "y", "r")], "b string, a string, c string").write.option(

@@ -24,29 +24,46 @@ from pyspark.sql.types import (BooleanType, DataType, DateType, DecimalType, Dou
 
 from tierlake.operators.drift import EvolutionRules, conform
 
-# How the counted types are written as text.
-WHOLE, DATE, TRUTH = r"^[+-]?\d+$", r"^\d{4}-\d{2}-\d{2}$", r"(?i)^(true|false)$"
+# How the counted types are written as text. NUMBER is every text
+# that a cast to double may take; others aren't tried, since a failed try is an
+# exception.
+WHOLE, DATE, TRUTH = r"^[+-]?\d+\z", r"^\d{4}-\d{2}-\d{2}\z", r"(?i)^(true|false)\z"
+NUMBER = (r"^[\x00-\x20]*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?"
+          r"|0[xX][0-9a-fA-F.]+[pP][+-]?\d+[fFdD]?|(?i:nan|inf|infinity))[\x00-\x20]*$")
 COUNTS = ("texts", "ints", "longs", "wholes", "doubles", "dates", "times", "truths", "digits")
+# The bit of each count in a cell's marks; the digits stand above them.
+BITS = {name: 1 << i for i, name in enumerate(COUNTS[:-1])}
+DIGITS = 1 << len(BITS)
+MARKS = "__marks"
 
 
-def column_counts(column: str, prefix: str) -> list[Column]:
-    """The counts of one text column, named ``<prefix>_<count>``."""
-    c = F.col(f"`{column}`")
-    text = F.when(c != "", c)
-    whole = text.rlike(WHOLE)
-    digits = F.length(F.regexp_replace(text, r"^[+-]?0*", ""))
-    found = {
-        "texts": F.count(text),
-        "ints": F.count_if(whole & text.try_cast("int").isNotNull()),
-        "longs": F.count_if(whole & text.try_cast("bigint").isNotNull()),
-        "wholes": F.count_if(whole),
-        "doubles": F.count_if(text.try_cast("double").isNotNull()),
-        "dates": F.count_if(text.rlike(DATE) & text.try_cast("date").isNotNull()),
-        "times": F.count_if(text.try_cast("timestamp").isNotNull()),
-        "truths": F.count_if(text.rlike(TRUTH)),
-        "digits": F.coalesce(F.max(F.when(whole, digits)), F.lit(0)),
-    }
-    return [found[n].cast("bigint").alias(f"{prefix}_{n}") for n in COUNTS]
+def cell_marks(c: Column) -> Column:
+    """What the text of a cell parses as, in one number (NULL: no text). Whole
+    numbers of few digits fit their type without a try."""
+    digits = F.length(F.ltrim(F.ltrim(c, F.lit("+-")), F.lit("0")))
+
+    def fits(most: int, kind: str) -> Column:
+        return (digits <= most) | (digits == most + 1) & c.try_cast(kind).isNotNull()
+
+    def mark(name: str, holds: Column) -> Column:
+        return F.when(holds, F.lit(BITS[name])).otherwise(F.lit(0))
+
+    time = mark("times", c.try_cast("timestamp").isNotNull())
+    whole = (F.lit(BITS["texts"] + BITS["wholes"] + BITS["doubles"]) + time + digits * F.lit(DIGITS)
+             + F.when(fits(9, "int"), F.lit(BITS["ints"] + BITS["longs"]))
+             .when(fits(18, "bigint"), F.lit(BITS["longs"])).otherwise(F.lit(0)))
+    # No two of these hold for one text.
+    other = (F.when(c.rlike(NUMBER) & c.try_cast("double").isNotNull(), F.lit(BITS["doubles"]))
+             .when((F.length(c) == 10) & c.rlike(DATE) & c.try_cast("date").isNotNull(), F.lit(BITS["dates"]))
+             .when((F.length(c) <= 5) & c.rlike(TRUTH), F.lit(BITS["truths"])).otherwise(F.lit(0)))
+    return F.when(c != "", F.when(c.rlike(WHOLE), whole).otherwise(F.lit(BITS["texts"]) + time + other))
+
+
+def column_counts(m: Column, prefix: str) -> list[Column]:
+    """The counts of one column of marks, named ``<prefix>_<count>``."""
+    found = {name: F.sum(F.shiftright(m, i).bitwiseAND(F.lit(1))) for i, name in enumerate(BITS)}
+    found["digits"] = F.max(F.shiftright(m, len(BITS)))
+    return [F.coalesce(found[n], F.lit(0)).cast("bigint").alias(f"{prefix}_{n}") for n in COUNTS]
 
 
 def type_of(n: dict[str, int]) -> DataType:
@@ -66,8 +83,15 @@ def type_of(n: dict[str, int]) -> DataType:
     return StringType()
 
 
-def lattice_columns(df: DataFrame) -> list[Column]:
-    return [x for i, c in enumerate(df.columns) for x in column_counts(c, f"c{i}")]
+def observe_types(texts: DataFrame, seen: Observation) -> DataFrame:
+    """``texts``, counted by whatever reads them. The cells of a row are marked
+    as one array: an expression for each column would be more code than the
+    JVM compiles."""
+    cells = F.array(*[F.col(f"`{c}`") for c in texts.columns])
+    marks = F.transform(cells, cell_marks)
+    counted = texts.withColumn(MARKS, marks).observe(
+        seen, *[x for i in range(len(texts.columns)) for x in column_counts(F.col(MARKS)[i], f"c{i}")])
+    return counted.drop(MARKS)
 
 
 def schema_of(columns: list[str], counts: dict[str, int]) -> StructType:
@@ -90,7 +114,7 @@ def load_observed(spark: SparkSession, path: str, target: str, declared: StructT
     columns, bound by name with lenient casts; without it, the texts."""
     texts = read_texts(spark, path, delimiter, options)
     seen = Observation()
-    rows = texts.observe(seen, *lattice_columns(texts))
+    rows = observe_types(texts, seen)
     if declared is not None:
         rows = conform(rows, declared, EvolutionRules(
             allow_new_columns=False, allow_missing_columns=True, auto_cast_types=True, strict_mode=False))
