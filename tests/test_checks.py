@@ -4,6 +4,8 @@ each against a plain version."""
 import json
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from hypothesis import given, settings
@@ -17,7 +19,7 @@ from tierlake.operators.join_audit import join_profile
 from tierlake.operators.rule_table import validate_table
 from tierlake.operators.rules import Rule, validate
 from tierlake.plans import catalog_checks
-from tierlake.session import scratch_path
+from tierlake.session import scratch_path, scratch_root
 from tierlake.sources import events as ev
 from tierlake.sources.ingest import infer_schema
 from tierlake.sources.lattice import BITS, DIGITS, cell_marks, load_observed, schema_of, type_of
@@ -308,3 +310,13 @@ def test_profile_of_a_hot_key_counts_before_the_shuffle(spark):
     assert got.inner_rows == 10_000 ** 2 + 20_000 and got.max_matches == 10_000
     with pytest.raises(ValueError):
         join_profile(hot, hot, [])
+
+
+# --------------------------------------------------------------------------
+# Drift of the catalog
+# --------------------------------------------------------------------------
+
+def test_catalog_lands_compressed(spark):
+    assert catalog_checks.catalog_drift(spark, SF001).count() == 14
+    files = Path(urlparse(scratch_root(spark)).path).glob("tierlake/json_*/part-*")
+    assert {"".join(f.suffixes[-2:]) for f in files} == {".json.gz"}
