@@ -24,6 +24,7 @@ from tierlake.sources import events as ev
 from tierlake.sources.ingest import infer_schema
 from tierlake.sources.lattice import BITS, DIGITS, cell_marks, load_observed, schema_of, type_of
 from tierlake.sources.rescue import good_rows, load_rescued, read_csv_rescued
+from tierlake.streaming import keystate
 from tierlake.streaming.keystate import KeyState
 from tierlake.streaming.landing import CSV_TEXT_OPTIONS, ingest_landing
 
@@ -195,6 +196,17 @@ def test_only_changed_buckets_are_rewritten(spark):
     assert sum(1 in v for v in state.versions(spark).values()) == 1
 
 
+def test_large_buckets_are_merged_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(keystate, "SLICE_ROWS", 100)
+    state = KeyState(scratch_path(spark, "t_keys3"), KEYS, buckets=2)
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 1500).alias("i"))
+    state.merge(rows, 0)
+    assert state.merge(rows.where("id < 700"), 1).count() == 700
+    assert state.current(spark).count() == 2000 and state.duplicates(spark).count() == 700
+    files = state.current(spark).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 10 and max(r["count"] for r in files) < 400
+
+
 def test_landing_reports_keys_of_earlier_drops(spark):
     root = scratch_path(spark, "t_landing_keys")
     schema = StructType([StructField("k", StringType()), StructField("v", StringType())])

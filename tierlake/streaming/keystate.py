@@ -4,7 +4,9 @@ A check of one micro-batch can't see that a key came with an earlier one.
 ``KeyState`` keeps how often each key occurred so far, in ``buckets`` by the
 hash of the key. A micro-batch's keys are counted first (a key that holds most
 rows is one number before the shuffle); only buckets with new keys are merged
-and written, as a new version ``bucket=<b>/upto=<batch>``.
+and written, as a new version ``bucket=<b>/upto=<batch>``. A bucket of many
+keys is merged in slices of about ``SLICE_ROWS``, a file each, so that tasks
+stay as small as they are while the state grows.
 
 A version is computed from the last one of an *earlier* batch, and writing it
 again replaces it, so a batch that is replayed after a failure changes
@@ -25,7 +27,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tierlake.functions.clean import any_null
 
-BUCKET, UPTO = "bucket", "upto"
+BUCKET, UPTO, SLICE = "bucket", "upto", "slice"
+SLICE_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -84,12 +87,18 @@ class KeyState:
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         added = keyed.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).withColumns(
             {"n_new": F.col("n"), BUCKET: bucket})
-        touched = [r[0] for r in keyed.select(bucket).distinct().collect()]  # at most ``buckets``
+        rows = {r[0]: r[1] for r in keyed.groupBy(bucket).count().collect()}  # at most ``buckets``
+        touched = list(rows)
         if not touched:
             return self._read(spark, {})
         old = self.current(spark, before=batch_id, buckets=touched).select(
             *self.keys, "n", F.lit(0).cast("long").alias("n_new"), BUCKET)
-        merged = old.unionByName(added).repartition(BUCKET).groupBy(BUCKET, *self.keys).agg(
+        for r in old.groupBy(BUCKET).count().collect():
+            rows[r[0]] += r[1]
+        slices = -(-max(rows.values()) // SLICE_ROWS)
+        tasks = -(-sum(rows.values()) // SLICE_ROWS)
+        merged = old.unionByName(added).withColumn(SLICE, F.pmod(F.hash(*self.keys), F.lit(slices))).repartition(
+            tasks, BUCKET, SLICE).groupBy(BUCKET, SLICE, *self.keys).agg(
             F.sum("n").alias("n"), F.sum("n_new").alias("n_new"))
         stored = merged.withColumn(UPTO, F.lit(batch_id).cast("long")).select(*self._stored().fieldNames())
         (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
