@@ -133,3 +133,34 @@ def test_ordered_dedupe_property(spark, rows, desc):
                            else key < (_py_key(cur[0], desc), _py_key(cur[1], desc))):
             want[(k, g)] = cand
     assert got == want
+
+
+_odd = st.one_of(st.none(), st.text(st.sampled_from("\x00\x01\x02\x03\x05ab\u00e9"), max_size=3))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", None]), _odd, _odd, st.integers(0, 1), _odd, _odd),
+                     min_size=1, max_size=25), desc=st.booleans())
+def test_dedupe_orders_texts_carried_as_one(spark, rows, desc):
+    # Control characters, NULLs and empty texts compare and come back as given.
+    df = spark.createDataFrame(rows, "k string, s string, t string, i int, u string, v string")
+    got = {r.k: tuple(r) for r in dedupe(df, ["k"], order_by=[], descending=desc).collect()}
+    pick = max if desc else min
+    assert got == {k: pick((r for r in rows if r[0] == k), key=lambda r: [
+        (v is not None, v.encode() if isinstance(v, str) else v or 0) for v in r[1:]])
+        for k in {r[0] for r in rows}}
+
+
+def test_dedupe_sorts_and_shuffles_one_text(spark):
+    # Sorts and the shuffle hold the row as key and one text, not 12 columns.
+    silver = catalog.fact_clean(spark, SF01)
+    plan = silver._jdf.queryExecution().executedPlan().toString()
+    assert "_dedupe_text_0" in plan
+    sort = next(line for line in plan.splitlines() if "Sort [" in line)
+    assert sort.count("ASC NULLS FIRST") == 3
+    # The schema stays as it was, with bytes that are no UTF-8 too.
+    odd = spark.sql("select 'k' k, cast(X'80FF' as string) s, 'x' t, cast(null as string) u")
+    out = dedupe(odd, ["k"], order_by=[])
+    assert out.schema == odd.schema
+    assert [tuple(map(bytes, r)) for r in out.select(F.col("s").cast("binary"),
+                                                     F.col("t").cast("binary")).collect()] == [(b"\x80\xff", b"x")]
